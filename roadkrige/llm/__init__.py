@@ -9,7 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
-    "exact", "mixing", "shards", "tokens", "packing",
+    "exact", "mixing", "shards", "tokens", "packing", "topk", "urls",
 
 )
 
