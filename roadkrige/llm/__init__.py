@@ -9,7 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
-    "quality", "exact", "mixing", "shards", "tokens", "packing", "topk", "urls",
+    "quality", "jaccard", "exact", "mixing", "shards", "tokens", "packing", "topk", "urls",
 
 )
 
