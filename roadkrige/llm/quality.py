@@ -41,6 +41,7 @@ PAD = 256  # stands before the first and after the last byte
 TRAIN_ROWS = 2500
 TRAIN_BYTES = 1 << 17
 EPOCHS = 16
+STEPS = 400  # at least, where labels are few
 BATCH = 32
 PIECE = 1 << 18
 SEED = 5
@@ -130,8 +131,10 @@ def fit(texts: list[bytes], labels: list[int], shares: tuple[float, float] | Non
     raw = [np.frombuffer(t, dtype=np.uint8) for t in texts]
     y = np.array(labels, dtype=np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    step, total = 0, EPOCHS * -(-len(raw) // BATCH)
-    for _ in range(EPOCHS):
+    per_epoch = -(-len(raw) // BATCH)
+    epochs = max(EPOCHS, -(-STEPS // per_epoch))
+    step, total = 0, epochs * per_epoch
+    for _ in range(epochs):
         order = rng.permutation(len(raw))
         for first in range(0, len(raw), BATCH):
             take = order[first : first + BATCH]
