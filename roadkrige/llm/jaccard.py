@@ -22,13 +22,15 @@ no link: two linked sets that share no signature at one try agree on ``sure``
 parts with empty choices, so both go on to the next.
 
 Candidates.  Rows (signature, key) shuffle by signature and are sorted; a
-stream over them links each key to the first of its signature.  Connected
-candidates form a class.  Verification.  The texts of one document per key are
-gathered by class and all pairs of a class are compared exactly, by counting
-shared shingles in an inverted list held by the task; only a spanning forest
-of the links leaves it.  A class of more than ``BLOCK_ROWS`` keys or ``BLOCK_SHINGLES`` shingles
-is cut into blocks and each pair of blocks is a task of its own, so memory is bounded.
-Components of the links and of equal sets give the result.
+stream over them pairs each key with its leader, the first key of its
+signature.  All keys that share some signature under one leader form the
+leader's group, so each candidate pair lies in a group.  Verification.  The
+texts of one document per key are gathered by group and compared exactly, by
+counting shared shingles in an inverted list held by the task; only a spanning
+forest of the links leaves it.  A group of more than ``BLOCK_ROWS`` keys or
+``BLOCK_SHINGLES`` shingles is cut into blocks and each pair of blocks is a
+task of its own, so memory is bounded.  Components of the links and of equal
+sets give the result.
 
 Defined cases: null, empty and white texts have no set and are linked with
 nothing; with fewer than k words the whole sequence is the one shingle; rows
@@ -52,12 +54,13 @@ from . import scratch
 from .components import connected_components
 from .text import Words, blocks, column_bytes, mix, ragged, run_hashes
 
-N2 = 2
+N2 = 3
 FREE = 1
 TRIES = 6
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 2_000_000
 KEY_BYTES = 32
+MEMBER_BYTES = 64
 BROADCAST_LIMIT = 64 << 20
 SEEN = 500_000  # keys a task remembers so as not to repeat their signatures
 
@@ -140,16 +143,17 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def set_table(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n_shingles and the set's key (null for an empty set)."""
+    """doc_id, text_key, n_shingles and the set's key (null for an empty set)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, data, offsets in _texts(batch.column(1)) for s in shingle_sets(data, offsets, k)]
+            sets = [s for _, data, offsets in _texts(batch.column(2)) for s in shingle_sets(data, offsets, k)]
             sizes, keys = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, keys], names=["doc_id", "n_shingles", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, keys], names=["doc_id", "text_key", "n_shingles", "key"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, n_shingles long, key long")
+    named = docs.select(doc_id, F.xxhash64(text).alias("text_key"), text)
+    return named.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, key long")
 
 
 class Seen:
@@ -207,6 +211,12 @@ def candidate_edges(rows: DataFrame) -> DataFrame:
 def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets (of different sides only, if given)."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
+    num, den = similarity.numerator, similarity.denominator
+    if n == 2:
+        if sizes.min() * den < num * sizes.max() or (side is not None and side[0] == side[1]):
+            return []
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if common * den >= num * (sizes.sum() - common) else []
     owner = np.repeat(np.arange(n), sizes)
     _, feature, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = often[feature] > 1
@@ -215,7 +225,6 @@ def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None
     posting = owner[order]
     start = np.searchsorted(feature[order], np.arange(len(often) + 1))
     at = np.searchsorted(owner, np.arange(n + 1))
-    num, den = similarity.numerator, similarity.denominator
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -243,7 +252,7 @@ def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None
 
 
 def verified_links(members: DataFrame, k: int, similarity: Fraction) -> DataFrame:
-    """``members``: class, i, j, block, text.  Links between keys, a forest for each (class, i, j)."""
+    """``members``: leader, i, j, block, text.  Links between keys, a forest for each (leader, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
@@ -267,8 +276,8 @@ def verified_links(members: DataFrame, k: int, similarity: Fraction) -> DataFram
             yield _pairs(out)
         yield _pairs(links())
 
-    parts = members.repartition("class", "i", "j").sortWithinPartitions("class", "i", "j")
-    return parts.select("class", "i", "j", "block", "text").mapInArrow(run, "a long, b long")
+    parts = members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    return parts.select("leader", "i", "j", "block", "text").mapInArrow(run, "a long, b long")
 
 
 def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -276,41 +285,27 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
-def keyed_texts(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """key and text of the first row of a task with that key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in batches:
-            keys, rows = [], []
-            for first, data, offsets in _texts(batch.column(0)):
-                for i, values in enumerate(shingle_sets(data, offsets, k)):
-                    if (key := set_key(values)) is not None and seen.new(key):
-                        keys.append(key)
-                        rows.append(first + i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["key", "text"])
-
-    return docs.select(text).mapInArrow(run, "key long, text string")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
     sets = scratch.table(set_table(docs, k, text, doc_id), "sets")
-    edges = candidate_edges(signature_rows(docs, k, similarity, text))
-    classes = connected_components(edges)
-    sizes = sets.filter("key is not null").select("key", "n_shingles").dropDuplicates(["key"])
-    sized = scratch.table(classes.join(sizes, F.col("node") == F.col("key")).select("key", F.col("root").alias("class"), "n_shingles"), "sized")
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    n_blocks = scratch.table(sized.groupBy(F.col("class").alias("_class")).agg(count.cast("int").alias("n")), "n_blocks")
-    nodes = sized.join(n_blocks, F.col("class") == F.col("_class")).select(
-        F.col("key").alias("_key"), "class", "n", F.pmod(F.xxhash64("key"), F.col("n")).cast("int").alias("block")
+    edges = scratch.table(candidate_edges(signature_rows(docs, k, similarity, text)).distinct(), "candidates")
+    # one document for each key
+    keys = sets.filter("key is not null").groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("size"))
+    keys = keys.join(edges.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), F.col("_key") == F.col("_node"), "left_semi")
+    keys = scratch.table(keys, "keys")
+    members = edges.unionByName(edges.select("a", F.col("a").alias("b")).distinct())
+    members = scratch.table(members.join(keys, F.col("b") == F.col("_key")).select(F.col("a").alias("leader"), "one", "size"), "members")
+    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    groups = scratch.table(members.groupBy(F.col("leader").alias("_leader")).agg(count.cast("int").alias("n")), "groups")
+    placed = members.join(groups, F.col("leader") == F.col("_leader")).select(
+        "leader", "n", F.pmod(F.xxhash64("one"), F.col("n")).cast("int").alias("block"), F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text_key")
     )
-    nodes = scratch.table(nodes, "nodes")
-    if nodes.count() * KEY_BYTES <= BROADCAST_LIMIT:
-        nodes = F.broadcast(nodes)
-    texts = keyed_texts(docs, k, text).join(nodes, F.col("key") == F.col("_key"))
+    if members.count() * MEMBER_BYTES <= BROADCAST_LIMIT:
+        placed = F.broadcast(placed)
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_own"))
+    texts = own.join(placed, (F.col("_own") == F.col("_text_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
     with_other = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    members = with_other.select("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text")
+    members = with_other.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text")
     roots = connected_components(verified_links(members, k, similarity))
     named = sets.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("component"))
     named = scratch.table(named, "named")

@@ -15,7 +15,7 @@ import pyarrow as pa
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
-BLOCK = 1 << 21  # bytes of text worked on at once; a longer text is a block of its own
+BLOCK = 1 << 20  # bytes of text worked on at once; a longer text is a block of its own
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
