@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+from .plans.registry import ORACLE_SQL, QUERIES
+
+MODULES = ("relational", "scalar", "spatial", "network", "models")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"roadkrige.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    _load()
+    return dict(ORACLE_SQL)
