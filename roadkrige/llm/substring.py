@@ -8,7 +8,7 @@ fingerprint, the hash of all words of those windows (their context), document
 and position.
 
 The index is a list of immutable runs, each the entries of one batch, dealt
-out by fingerprint and sorted by it.  A new batch is written as a run and
+out by fingerprint and document and sorted by fingerprint.  A new batch is written as a run and
 merge-joined with the runs before it:
 
 1. Fingerprints of the batch that more than one document has are live; the
@@ -148,7 +148,8 @@ class FingerprintIndex:
         self.spark, self.max_runs, self.runs = spark, max_runs, []
 
     def _sorted(self, rows: DataFrame) -> DataFrame:
-        return scratch.table(rows.repartition("print").sortWithinPartitions("print", "context", "doc_id"), "run")
+        """Sorted by fingerprint in each file; a frequent one is spread over files by document."""
+        return scratch.table(rows.repartition("print", "text_key").sortWithinPartitions("print", "context", "doc_id"), "run")
 
     def compact(self) -> None:
         if len(self.runs) > 1:
