@@ -1,63 +1,7 @@
-"""Tables that cut lineage, kept in the folder the cluster shares.
-
-``spark.checkpoint.dir`` names that folder.  Where it is unset (tests, a
-single machine) a folder below the system's temporary folder is used.
-Written tables are removed when the session's Python process ends, or sooner
-through ``drop``; a lost executor never takes one with it.
-"""
+"""Tables that cut lineage; see ``roadkrige.storage``."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="roadkrige-"))
-    return _LOCAL[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def drop(*tables: DataFrame) -> None:
-    """Remove tables made by ``table`` that nothing reads any more."""
-    for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove(df.sparkSession, file)
-
+from ..storage import drop, folder, new_path, remove, table
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            if spark._jsc is not None and not spark._jsc.sc().isStopped():
-                remove(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+__all__ = ["drop", "folder", "new_path", "remove", "table"]
