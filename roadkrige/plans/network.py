@@ -1 +1,185 @@
+"""Graphs, network distance, variograms and kriging."""
 
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import kriging as K
+from ..operators import network as N
+from ..operators import relational as R
+from ..operators.spatial import radius_pairs
+from . import fixtures as X
+from .fixtures import sql
+from .registry import query
+from .spatial import centres
+
+_PIECES = 'e AS (SELECT x1 AS ax, y1 AS ay, x2 AS bx, y2 AS "by", len AS w FROM segs)'
+
+
+@query(sql("segs", more=_PIECES) + 'SELECT ax, ay, bx, "by", min(w) AS w FROM e WHERE w > 0 GROUP BY 1, 2, 3, 4')
+def graph_edges_min(spark, d):
+    return N.line_edges(X.roads(spark, d))
+
+
+@query(sql("segs", more=_PIECES) + 'SELECT ax, ay, bx, "by", min(w) AS w FROM (FROM e UNION ALL SELECT ax, ay, ax, ay, 0.0 FROM e WHERE ax = ay) GROUP BY 1, 2, 3, 4')
+def graph_edges_keep_zero(spark, d):
+    roads = X.roads(spark, d)
+    start = F.element_at("pts", 1)
+    still = roads.filter(start["x"] == start["y"]).withColumn("pts", F.array(start, start))
+    return N.line_edges(roads.unionByName(still), keep_zero=True)
+
+
+@query(sql("segs", more=_PIECES) + 'SELECT (SELECT count(*) FROM (SELECT ax, ay FROM e UNION SELECT bx, "by" FROM e)) AS n_nodes, (SELECT count(*) FROM (SELECT DISTINCT ax, ay, bx, "by" FROM e)) AS n_edges')
+def graph_size(spark, d):
+    edges = N.line_edges(X.roads(spark, d))
+    ends = edges.select(F.col("ax").alias("x"), F.col("ay").alias("y")).unionByName(edges.select(F.col("bx").alias("x"), F.col("by").alias("y"))).distinct()
+    return ends.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
+
+
+@query(sql("segs", more=_PIECES) + """, v AS (SELECT a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS "by", sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS w
+        FROM segs a JOIN segs b ON a.road_id < b.road_id AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 22500)
+    SELECT ax, ay, bx, "by", round(min(w), 6) AS w FROM (SELECT * FROM e UNION ALL SELECT * FROM v) GROUP BY 1, 2, 3, 4""")
+def graph_with_virtual(spark, d):
+    out = N.with_virtual_links(N.line_edges(X.roads(spark, d)), centres(spark, d), "road_id", 150.0)
+    return out.withColumn("w", F.round("w", 6))
+
+
+_GRID = """gr AS (SELECT g, ((SELECT count(*) FROM part) // 2) // g AS full_rows FROM g),
+    reg AS (SELECT i * 100.0::DOUBLE AS x, j * 100.0::DOUBLE AS y FROM gr, range(0, g - 1) a(i), range(0, full_rows) b(j)),
+    src AS (SELECT x AS sx, y AS sy FROM reg WHERE x % 1000 = 0 AND y % 1000 = 0),
+    dist AS (SELECT sx, sy, x AS tx, y AS ty, abs(sx - x) + abs(sy - y) AS d FROM src, reg)"""
+
+
+def _graph(spark, d):
+    """Numbered nodes and edges, with the nodes for which distance is known in closed form."""
+    from .. import storage
+
+    edges = N.line_edges(X.roads(spark, d))
+    nodes = storage.table(N.nodes_of(edges), "nodes")
+    g = X.lattice_size(spark, d)
+    rows = X.read(spark, d, "part").count() // 2 // g
+    inner = nodes.filter((F.col("x") <= 100.0 * (g - 2)) & (F.col("y") < 100.0 * rows))
+    return N.numbered_edges(edges, nodes), nodes, inner
+
+
+def _placed(table, nodes):
+    s = nodes.select(F.col("node_id").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    t = nodes.select(F.col("node_id").alias("dst"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    return table.join(s, "src").join(t, "dst")
+
+
+@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist")
+def network_distance(spark, d):
+    edges, nodes, inner = _graph(spark, d)
+    sources = inner.filter("x % 1000 = 0 and y % 1000 = 0")
+    return _placed(N.network_distance(edges, sources, inner), nodes).select("sx", "sy", "tx", "ty", "dist")
+
+
+@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist UNION ALL SELECT sx, sy, -1.0, -1.0, 1e6 FROM src")
+def network_distance_fill(spark, d):
+    edges, nodes, inner = _graph(spark, d)
+    lost = spark.createDataFrame([(-1, -1.0, -1.0)], "node_id long, x double, y double")
+    matrix = N.distance_matrix(edges, inner.filter("x % 1000 = 0 and y % 1000 = 0"), inner.unionByName(lost))
+    return _placed(matrix, nodes.unionByName(lost)).select("sx", "sy", "tx", "ty", "dist")
+
+
+@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, round(2.5 * exp(-d / 1500), 8) AS cov FROM dist")
+def cov_matrix(spark, d):
+    edges, nodes, inner = _graph(spark, d)
+    placed = _placed(N.network_distance(edges, inner.filter("x % 1000 = 0 and y % 1000 = 0"), inner), nodes)
+    return placed.select("sx", "sy", "tx", "ty", F.round(K.exponential_covariance(F.col("dist"), 2.5, 1500.0), 8).alias("cov"))
+
+
+_CLOUD = """c AS (SELECT sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS h, 0.5 * pow((a.road_id % 11) - (b.road_id % 11), 2)::DOUBLE AS gamma
+    FROM segs a JOIN segs b ON a.road_id < b.road_id AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 90000)"""
+
+
+def _cloud(spark, d):
+    value = centres(spark, d).select("road_id", (F.col("road_id") % 11).cast("double").alias("r"))
+    pairs = radius_pairs(centres(spark, d), "road_id", 300.0)
+    side = lambda c, n: value.select(F.col("road_id").alias(c), F.col("r").alias(n))
+    return K.variogram_cloud(pairs.join(side("a", "r_i"), "a").join(side("b", "r_j"), "b").withColumn("dist", F.sqrt("d2")))
+
+
+@query(sql("segs", more=_CLOUD) + "SELECT round(quantile_cont(gamma, 0.1), 8) AS nugget, round(max(gamma) - quantile_cont(gamma, 0.1), 8) AS sill, round(quantile_cont(h, 0.75), 6) AS range, round(var_pop(gamma), 6) AS spread FROM c")
+def variogram_p0(spark, d):
+    cloud = _cloud(spark, d)
+    start = K.start_values(cloud).crossJoin(cloud.agg(F.var_pop("gamma").alias("spread")))  # one row each
+    return start.select(F.round("nugget", 8).alias("nugget"), F.round("sill", 8).alias("sill"), F.round("range", 6).alias("range"), F.round("spread", 6).alias("spread"))
+
+
+@query(sql("segs", more=_CLOUD) + "SELECT round(h, 6) AS h, count(*) AS n, round(avg(gamma), 8) AS gamma FROM c GROUP BY 1")
+def variogram_cloud(spark, d):
+    return _cloud(spark, d).groupBy(F.round("h", 6).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gamma"), 8).alias("gamma"))
+
+
+@query()
+def variogram_fit(spark, d):
+    rows = _cloud(spark, d).orderBy("h", "gamma")
+    nugget, c, a = K.fit_variogram(rows, 10.0)
+    return spark.createDataFrame([(nugget, c, a)], "nugget double, c double, a double")
+
+
+_TWO = "80000 - (CASE WHEN {h} > 0 THEN 300 ELSE 0 END + 79700 * (1 - exp(-3 * {h} / 800)))"
+
+
+@query(sql("segs") + f""", h AS (SELECT road_id, sqrt(pow(cx - 100, 2) + pow(cy - 100, 2)) AS h1, sqrt(pow(cx - 700, 2) + pow(cy - 500, 2)) AS h2, sqrt(pow(600, 2) + pow(400, 2)) AS h12 FROM segs),
+    k AS (SELECT road_id, {_TWO.format(h="h1")} AS k1, {_TWO.format(h="h2")} AS k2, {_TWO.format(h="h12")} AS k12 FROM h)
+    SELECT road_id, round(1000 * (0.5 + (k1 - k2) / (2 * (80000 - k12))) + 5000 * (0.5 - (k1 - k2) / (2 * (80000 - k12))), 4) AS estimate FROM k""")
+def ok_two_point(spark, d):
+    xy, z = np.array([[100.0, 100.0], [700.0, 500.0]]), np.array([1000.0, 5000.0])
+    between = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(2))
+    model = K.Kriging(between, z, K.FromVariogram(80000.0, K.practical_exponential, 300.0, 79700.0, 800.0), 80000.0)
+    return K.krige_points(model, xy, centres(spark, d), ["road_id"]).withColumn("estimate", F.round("estimate", 4))
+
+
+@query(sql("g", more=_GRID) + """, t AS (SELECT x, y, exp(-(x + y) / 8000) AS k1, exp(-(abs(x - 1000) + y) / 8000) AS k2, 1 + 1e-10 AS s, exp(-1000 / 8000.0) AS c FROM reg)
+    SELECT x, y, round((1.5 * (s * k1 - c * k2) - 0.5 * (s * k2 - c * k1)) / (s * s - c * c), 7) AS estimate FROM t""")
+def network_simple_krige(spark, d):
+    edges, nodes, inner = _graph(spark, d)
+    known = [r.node_id for r in inner.filter("y = 0 and x in (0, 1000)").orderBy("x").collect()]  # two nodes
+    if len(known) < 2:
+        return inner.select("x", "y", F.lit(None).cast("double").alias("estimate")).limit(0)
+    model = K.network_simple_kriging(np.array([[0.0, 1000.0], [1000.0, 0.0]]), np.array([1.5, -0.5]))
+    dist = N.network_distance(edges, inner.filter(F.col("node_id").isin(known)), inner)
+    out = K.krige_distances(model, dist, known)
+    return out.join(inner, F.col("dst") == F.col("node_id")).select("x", "y", F.round("estimate", 7).alias("estimate"))
+
+
+@query(sql("roads", "mean_obs") + "SELECT road_id, 20000 + 3 * x1 AS aadt_pred_reg, 20000 + 3 * x1 + coalesce(aadt_obs - 25000, 0) AS aadt_pred_rk FROM roads LEFT JOIN mean_obs USING (osm_id)")
+def rk_combine(spark, d):
+    roads = X.roads(spark, d).select("road_id", (20000 + 3 * F.element_at("pts", 1)["x"]).alias("pred"))
+    resid = R.mean_by_key(X.observations(spark, d)).select(F.col("osm_id").alias("road_id"), (F.col("aadt_obs") - 25000).alias("estimate"))
+    return K.combine(roads, resid, "road_id").select("road_id", F.col("pred").alias("aadt_pred_reg"), "aadt_pred_rk")
+
+
+@query(sql("roads", "mean_obs") + "SELECT road_id, 20000 + 3 * x1 AS aadt_pred_reg FROM roads")
+def reg_layer(spark, d):
+    return rk_combine(spark, d).select("road_id", "aadt_pred_reg")
+
+
+@query(sql("roads", "mean_obs") + "SELECT road_id, coalesce(round_even(aadt_obs, 0), round_even(1000 + x1 / 3, 0))::BIGINT AS aadt FROM roads LEFT JOIN mean_obs USING (osm_id)")
+def kriging_assign(spark, d):
+    roads = X.roads(spark, d).join(R.mean_by_key(X.observations(spark, d), to="aadt"), "osm_id", "left")
+    estimates = X.roads(spark, d).select("road_id", (1000 + F.element_at("pts", 1)["x"] / 3).alias("estimate"))
+    return K.assign(roads, estimates, "road_id").select("road_id", "aadt")
+
+
+def labelled_sample(spark, d, n: int = 150):
+    """(x, y, mean count) of the first labelled roads by id: a kriging sample of fixed size."""
+    mean = R.mean_by_key(X.observations(spark, d)).withColumnRenamed("osm_id", "road_id")
+    rows = centres(spark, d).join(mean, "road_id").orderBy("road_id").limit(n).toPandas()
+    return rows[["x", "y", "aadt_obs"]].to_numpy(float)
+
+
+@query()
+def ok_fixed_variogram(spark, d):
+    sample = labelled_sample(spark, d)
+    return K.krige_points(K.ordinary_kriging(sample), sample[:, :2], centres(spark, d), ["road_id"])
+
+
+@query()
+def uk_spherical(spark, d):
+    sample = labelled_sample(spark, d)
+    return K.krige_points(K.spherical_kriging(sample), sample[:, :2], centres(spark, d), ["road_id"])
