@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import Words, blocks, column_bytes, ragged
+from .text import Words, blocks, column_bytes, ragged, small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -152,6 +152,7 @@ def pack_documents(
     docs: DataFrame, model: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, piece_size: int = PIECE
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    small_batches(docs.sparkSession)
     if model is None:
         from .tokens import default_model
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import column_bytes
+from .text import column_bytes, small_batches
 
 STRIDE = 4
 WIDTH = 2 * STRIDE
@@ -176,6 +176,7 @@ def score(docs: DataFrame, net: Net | None, text: str = "text", name: str = "sco
     """``docs`` with the probability of label 1 in column ``name``."""
     if net is None:
         return docs.withColumn(name, F.lit(0.5))
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)  # of fixed size
     at = docs.columns.index(text)
 

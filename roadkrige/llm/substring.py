@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import Words, blocks, column_bytes, mix, powers, ragged, run_hashes
+from .text import Words, blocks, column_bytes, mix, powers, ragged, run_hashes, small_batches
 
 WINDOW = 50
 GRAM = 16
@@ -251,6 +251,7 @@ def repeated_ranges(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+    small_batches(docs.sparkSession)
     own = identified(docs, text, doc_id)
     return removal(own, repeated_ranges(own, batches, max_runs))
 

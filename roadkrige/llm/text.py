@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 BLOCK = 1 << 20  # bytes of text worked on at once; a longer text is a block of its own
 
+BATCH_ROWS = 1000
+
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = _TABLE.copy()
@@ -43,6 +46,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold BATCH_ROWS rows where the session has Spark's default of ten times that.
+
+    A batch of texts exists several times over, in the JVM and in Python.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit over all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

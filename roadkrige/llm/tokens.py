@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import blocks, column_bytes, span_hashes
+from .text import blocks, column_bytes, small_batches, span_hashes
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -91,6 +91,7 @@ def counter_of(model: str) -> Counter:
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row."""
+    small_batches(docs.sparkSession)
     model = model or default_model()
     kind = docs.schema[doc_id].dataType.simpleString()
 
