@@ -55,7 +55,7 @@ def encoder(numeric: list[str], category: str | None, to: str = "features") -> l
         return [VectorAssembler(inputCols=numeric, outputCol=to, handleInvalid="keep")]
     index = StringIndexer(inputCol=category, outputCol=f"_{category}_i", handleInvalid="keep", stringOrderType="alphabetAsc")
     # the indexer's slot for unseen values comes last and is what dropLast drops
-    hot = OneHotEncoder(inputCols=[f"_{category}_i"], outputCols=[f"_{category}_v"], dropLast=True, handleInvalid="keep")
+    hot = OneHotEncoder(inputCols=[f"_{category}_i"], outputCols=[f"_{category}_v"], dropLast=True, handleInvalid="error")
     return [index, hot, VectorAssembler(inputCols=[*numeric, f"_{category}_v"], outputCol=to, handleInvalid="keep")]
 
 

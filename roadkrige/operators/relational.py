@@ -110,6 +110,6 @@ def thinned_pairs(items: DataFrame, order: str, columns: list[str], most: int =
     per = F.floor((F.lit(n - 2) - F.col("i")) / step) + 1
     before = F.coalesce(F.sum(per).over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = left.filter(F.col("i") < n - 1).withColumn("_before", before).filter(F.col("_before") < limit)
-    pairs = left.withColumn("j", F.explode(F.expr(f"sequence(i + 1, {n - 1}, {step})")).cast("int"))
+    pairs = left.withColumn("j", F.explode(F.expr(f"sequence(i + 1, {n - 1}, {step})")))
     right = numbered.select(F.col("i").alias("j"), *[F.col(c).alias(f"{c}_j") for c in columns])
     return pairs.filter(F.col("_before") + (F.col("j") - F.col("i") - 1) / step < limit).drop("_before").join(right, "j")
