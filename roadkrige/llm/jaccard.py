@@ -4,26 +4,31 @@ A document's set holds the hashes of its distinct k-word shingles; equal sets
 have equal keys, and from here on a key stands for all documents with its set.
 
 Signatures.  Sizes are cut into bands that grow by 1 / similarity, so the sets
-of a link lie in one band or in two neighbouring ones, and a set takes part in
-the instance of its own band and of the next.  In the instance whose largest
-size is r, linked sets differ in at most
-``d = floor(2 r (1 - similarity) / (1 + similarity))`` shingles.  The shingle
-domain is cut, by hash, into n1 parts of N2 second-level parts.  At least
-``sure = n1 - d // (FREE + 1)`` of the n1 parts hold at most FREE of the
-differences, and each of them has N2 - FREE second-level parts that are the
-same in both sets.  So one signature is made for each of the n1 parts and each
-choice of N2 - FREE of its second-level parts: the hash of the shingles there.
-
-A choice without shingles gives no signature, as all sets would share it.  If
-fewer than ``sure`` parts of a set have such a choice, the guarantee holds
-without them.  If not, the set cuts the domain anew with another seed, up to
-TRIES times, and after that emits one signature for all such sets.  That loses
-no link: two linked sets that share no signature at one try agree on ``sure``
-parts with empty choices, so both go on to the next.
-
-Candidates.  Rows (signature, key) shuffle by signature and are sorted; a
-stream over them pairs each key with its leader, the first key of its
-signature.  All keys that share some signature under one leader form the
+of a link lie in one band or in two neighbouring ones.  Instance i serves the
+links whose smaller set lies in band i; a set takes part in that of its own
+band and in the one before.  With r and R the largest sizes of bands i and
+i + 1, linked sets differ in at most
+``d = floor((r + R) (1 - similarity) / (1 + similarity))`` shingles.  The
+shingle domain is cut, by hash, into n1 parts of N2 second-level parts, n1 above
+d / (FREE + 1).  A part with at most FREE of the differences has N2 - FREE
+second-level parts that are the same in both sets.  So one signature is made for
+each of the n1 parts and each choice of N2 - FREE of its second-level parts:
+the hash of the shingles there.
+
+A choice without shingles gives no signature, as all sets would share it.  With
+x0 parts free of differences and x1 with 1 to FREE of them,
+``x0 (FREE + 1) + x1 FREE >= (FREE + 1) n1 - d`` (every other part holds FREE + 1
+differences or more).  Two linked sets miss each other only if the x0 parts are
+empty and the x1 parts have an empty choice, in both sets.  A set with too few
+such parts for that is safe.  Any other cuts the domain anew with another seed,
+up to TRIES times, and after that emits one signature for all such sets.  That
+loses no link: two linked sets that miss each other at one try both go on to
+the next.
+
+Candidates.  Signatures shuffle in buckets that a task can hold, packed to eight
+bytes each with a list of keys per bucket and block of texts; equal ones are
+found by sorting, and each key is paired with its leader, the smallest key of
+its signature.  All keys that share some signature under one leader form the
 leader's group, so each candidate pair lies in a group.  Verification.  The
 texts of one document per key are gathered by group and compared exactly, by
 counting shared shingles in an inverted list held by the task; only a spanning
@@ -43,6 +48,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -52,7 +58,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import connected_components
-from .text import Words, blocks, column_bytes, mix, ragged, run_hashes
+from .text import Words, blocks, column_bytes, mix, ragged, run_hashes, small_batches
 
 N2 = 3
 FREE = 1
@@ -62,6 +68,9 @@ BLOCK_SHINGLES = 2_000_000
 KEY_BYTES = 32
 MEMBER_BYTES = 64
 BROADCAST_LIMIT = 64 << 20
+PACK_SIGNATURES = 1_000_000
+PACK_KEYS = 60_000
+BUCKET_SHINGLES = 4_000_000
 SEEN = 500_000  # keys a task remembers so as not to repeat their signatures
 
 
@@ -90,6 +99,9 @@ def set_key(values: np.ndarray) -> int | None:
         return int(mix(np.array([once ^ (twice * np.uint64(0x2545F4914F6CDD1D)) ^ np.uint64(len(values))], dtype=np.uint64))[0] >> np.uint64(1))
 
 
+CHOICES = np.array(list(combinations(range(N2), N2 - FREE)))
+
+
 class Bands:
     """The size bands of a similarity (a fraction) and the instances a size takes part in."""
 
@@ -97,16 +109,30 @@ class Bands:
         self.similarity, self.tops = similarity, [0]
 
     def instances(self, size: int) -> list[tuple[int, int]]:
-        """(band, largest difference of linked sets in it) of a size's own band and the next."""
-        while len(self.tops) < 3 or self.tops[-2] < size:
+        """(instance, largest difference of sets linked in it) for a size.
+
+        Instance i is for links whose smaller set lies in band i and whose
+        larger one in band i or i + 1, so a set of band b takes part in b - 1 and b.
+        """
+        while len(self.tops) < 4 or self.tops[-3] < size:
             low = self.tops[-1] + 1
             self.tops.append(max(low, int(low / self.similarity)))
         own = int(np.searchsorted(self.tops, size))
-        ratio = 2 * (1 - self.similarity) / (1 + self.similarity)
-        return [(band, int(ratio * self.tops[band])) for band in (own, own + 1)]
-
-
-CHOICES = np.array(list(combinations(range(N2), N2 - FREE)))
+        ratio = (1 - self.similarity) / (1 + self.similarity)
+        return [(i, int(ratio * (self.tops[i] + self.tops[i + 1]))) for i in (own - 1, own) if i > 0]
+
+    @cache
+    def parts(self, instance: int, differences: int) -> tuple[int, int]:
+        """n1 and ``sure``: as few parts as leave a set of the least size rarely with too many empty ones."""
+        least, size = differences // (FREE + 1), self.tops[instance - 1] + 1
+        sure = 1
+        while sure < least + 8:
+            n1 = least + sure
+            some = n1 * min(1.0, len(CHOICES) * (1 - (N2 - FREE) / (N2 * n1)) ** size)
+            if sure > (some + 2 * some**0.5) / (FREE + 1):
+                break
+            sure += 1
+        return least + sure, sure
 
 
 def signatures(values: np.ndarray, bands: Bands) -> np.ndarray:
@@ -115,9 +141,7 @@ def signatures(values: np.ndarray, bands: Bands) -> np.ndarray:
     for band, differences in bands.instances(len(values)):
         if differences == 0:  # only equal sets, which share their key
             continue
-        least = differences // (FREE + 1)
-        sure = 3 + least // 60
-        n1 = least + sure
+        n1, sure = bands.parts(band, differences)
         for turn in range(TRIES):
             name = np.uint64((band << 8) + turn)
             spread = mix(values + name)
@@ -129,7 +153,8 @@ def signatures(values: np.ndarray, bands: Bands) -> np.ndarray:
             filled = np.diff(cuts).reshape(n1, N2)[:, CHOICES].sum(2) > 0
             label = np.arange(n1 * len(CHOICES), dtype=np.uint64).reshape(n1, -1) + (name << np.uint64(32))
             out.append(mix(cells[:, CHOICES].sum(2) + mix(label))[filled])
-            if (~filled.all(1)).sum() < sure:
+            # a part without differences fails only if all its choices are empty, one with j differences if some are
+            if (~filled.any(1)).sum() * (FREE + 1) + (filled.any(1) & ~filled.all(1)).sum() * FREE < (FREE + 1) * n1 - differences:
                 break
         else:
             out.append(mix(np.array([(band << 8) + 255], dtype=np.uint64)))
@@ -171,41 +196,77 @@ class Seen:
         return True
 
 
-def signature_rows(docs: DataFrame, k: int, similarity: Fraction, text: str) -> DataFrame:
+def pack_signatures(marks: np.ndarray, keys: np.ndarray, owner: np.ndarray, n_buckets: int) -> pa.RecordBatch:
+    """A row for each bucket of signatures: the keys it needs, six bytes a signature and two for its key's place."""
+    bucket = (marks % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    mark, place = (marks[order] >> np.uint64(16)).astype("<u8"), owner[order]
+    ends = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)[: len(order)]) + 1
+    out = []
+    for a, b in zip(np.concatenate(([0], ends))[:-1].tolist(), ends.tolist(), strict=True):
+        used, local = np.unique(place[a:b], return_inverse=True)
+        six = mark[a:b].view(np.uint8).reshape(-1, 8)[:, :6]
+        out.append(np.array([len(used), b - a], "<i8").tobytes() + keys[used].astype("<i8").tobytes() + six.tobytes() + local.astype("<u2").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][ends - 1]), pa.array(out, pa.binary())], names=["bucket", "packed"])
+
+
+def unpack_signatures(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n_keys, n = np.frombuffer(packed, "<i8", 2).tolist()
+    keys = np.frombuffer(packed, "<i8", n_keys, 16)
+    mark = np.zeros((n, 8), dtype=np.uint8)
+    mark[:, :6] = np.frombuffer(packed, np.uint8, 6 * n, 16 + 8 * n_keys).reshape(-1, 6)
+    return mark.view("<u8")[:, 0], keys[np.frombuffer(packed, "<u2", n, 16 + 8 * n_keys + 6 * n)]
+
+
+def signature_rows(docs: DataFrame, k: int, similarity: Fraction, text: str, n_buckets: int) -> DataFrame:
+    """bucket and packed signatures; a key's signatures come once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(similarity), Seen()
+        keys, marks, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(keys)), [len(m) for m in marks])
+            return pack_signatures(np.concatenate([*marks, np.zeros(0, np.uint64)]), np.array(keys, dtype=np.int64), owner, n_buckets)
+
         for batch in batches:
             for _, data, offsets in _texts(batch.column(0)):
-                keys, marks = [], []
                 for values in shingle_sets(data, offsets, k):
                     if (key := set_key(values)) is not None and seen.new(key):
                         keys.append(key)
-                        marks.append(signatures(values, bands).view(np.int64))
-                if keys:
-                    each = np.repeat(np.array(keys, dtype=np.int64), [len(m) for m in marks])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(marks)), pa.array(each)], names=["signature", "key"])
+                        marks.append(signatures(values, bands))
+                        held += len(marks[-1])
+                        if held >= PACK_SIGNATURES or len(keys) >= PACK_KEYS:
+                            yield flush()
+                            keys, marks, held = [], [], 0
+        yield flush()
 
-    return docs.select(text).mapInArrow(run, "signature long, key long")
+    return docs.select(text).mapInArrow(run, "bucket int, packed binary")
 
 
-def candidate_edges(rows: DataFrame) -> DataFrame:
-    """(a, b) of each key with the first of its signature; one stream over sorted rows per task."""
+def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """(a, b): each key with the smallest key that shares a signature with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            mark, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            begins = np.concatenate(([mark[0] != last or head is None], mark[1:] != mark[:-1]))
-            at = np.cumsum(begins) - 1
-            heads = key[begins]
-            first = heads[at] if begins[0] else np.where(at < 0, head, heads[np.maximum(at, 0)] if len(heads) else head)
-            last, head = mark[-1], first[-1]
+        parts = [unpack_signatures(x) for batch in batches for x in batch.column(1).to_pylist()]
+        mark, key = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        del parts
+        if not len(mark):
+            return
+        order = np.argsort(mark, kind="stable")
+        mark, key = mark[order], key[order]
+        same = mark[1:] == mark[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        mark, key = mark[shared], key[shared]
+        order = np.lexsort((key, mark))
+        mark, key = mark[order], key[order]
+        if len(mark):
+            begins = np.append(True, mark[1:] != mark[:-1])
+            first = key[begins][np.cumsum(begins) - 1]
             pairs = np.unique(np.stack((first, key))[:, first != key], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    return rows.repartition("signature").sortWithinPartitions("signature", "key").mapInArrow(run, "a long, b long")
+    return rows.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -287,8 +348,13 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     sets = scratch.table(set_table(docs, k, text, doc_id), "sets")
-    edges = scratch.table(candidate_edges(signature_rows(docs, k, similarity, text)).distinct(), "candidates")
+    # buckets of signatures that a task can hold, as the shingles tell
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES + 1)
+    rows = signature_rows(docs, k, similarity, text, n_buckets)
+    edges = scratch.table(candidate_edges(rows, n_buckets).distinct(), "candidates")
     # one document for each key
     keys = sets.filter("key is not null").groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("size"))
     keys = keys.join(edges.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), F.col("_key") == F.col("_node"), "left_semi")

@@ -83,6 +83,15 @@ def test_documents(spark):
     assert kept == {c for _, _, c in got}
 
 
+def test_signatures_survive_packing():
+    rng = np.random.default_rng(1)
+    marks, owner, keys = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 70, 5000), rng.integers(0, 2**62, 70)
+    batch = jaccard.pack_signatures(marks, keys, np.sort(owner), 7)
+    got = {(int(b), int(m), int(k)) for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m, k in zip(*jaccard.unpack_signatures(x), strict=True)}
+    assert got == {(int(m % np.uint64(7)), int(m >> np.uint64(16)), int(keys[o])) for m, o in zip(marks, np.sort(owner), strict=True)}
+    assert jaccard.pack_signatures(marks[:0], keys[:0], owner[:0], 7).num_rows == 0
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(df).count() == 0 and jaccard.keep_one(df).count() == 0
