@@ -173,12 +173,12 @@ def hash_split(spark, d):
 
 @query("""WITH n AS (SELECT s_suppkey, s_acctbal AS r, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier),
     c AS (SELECT count(*) AS n FROM supplier), t AS (SELECT greatest(1, (n * (n - 1) // 2) // 5000) AS step FROM c)
-    SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(0.5 * (a.r - b.r) * (a.r - b.r), 4) AS gamma FROM n a JOIN n b ON b.i > a.i, t
+    SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, 0.5::DOUBLE * (a.r - b.r) * (a.r - b.r) AS gamma FROM n a JOIN n b ON b.i > a.i, t
     WHERE (b.i - a.i - 1) % step = 0 ORDER BY a.i, b.i LIMIT 5000""")
 def pair_thinning(spark, d):
     items = X.read(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("r"))
     pairs = R.thinned_pairs(items, "s_suppkey", ["r"])
-    return pairs.select("i", "j", F.round(0.5 * (F.col("r_i") - F.col("r_j")) * (F.col("r_i") - F.col("r_j")), 4).alias("gamma"))
+    return pairs.select("i", "j", (0.5 * (F.col("r_i") - F.col("r_j")) * (F.col("r_i") - F.col("r_j"))).alias("gamma"))
 
 
 @query("SELECT p_partkey AS road_id, p_retailprice AS importance FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30")
