@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``.  All but the last keep
 the columns of ``documents``.
+
+Every stage takes null and empty texts (scored, compared and packed as empty
+ones; near duplicates of nothing), texts of any length, null and repeated ids,
+further columns of any name, and empty tables (empty results).
 """
 
 from __future__ import annotations
@@ -16,7 +20,8 @@ from roadkrige.llm import exact, jaccard, mixing, packing, quality, scratch
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of label 1 is at least one half."""
     net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, net, name="_score").filter("_score >= 0.5").drop("_score")
+    name = "_score" + "_" * max(map(len, docs.columns))  # no column has it
+    return quality.score(docs, net, name=name).filter(F.col(name) >= 0.5).drop(name)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

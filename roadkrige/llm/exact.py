@@ -109,8 +109,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     dropped = scratch.table(dropped.distinct(), "dropped")
     if dropped.count() * DROPPED_ROW_BYTES <= BROADCAST_LIMIT:
         dropped = F.broadcast(dropped)
-    keyed = docs.withColumn("_digest", digest(F.col(text)))
-    return keyed.join(dropped, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_own"), digest(F.col(text)).alias("_digest"))
+    return rows.join(dropped, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_anti").select("_row.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

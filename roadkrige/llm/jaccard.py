@@ -388,7 +388,8 @@ def keep_one(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5),
     dropped = scratch.table(dropped.filter("not _kept").select("_id"), "dropped")
     if dropped.count() * KEY_BYTES <= BROADCAST_LIMIT:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, F.col(doc_id).eqNullSafe(F.col("_id")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_own"))
+    return rows.join(dropped, F.col("_own").eqNullSafe(F.col("_id")), "left_anti").select("_row.*")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

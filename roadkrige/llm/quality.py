@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
         return None
     # ids of one label with the smallest hashes: at most 2 * TRAIN_ROWS rows, so broadcasting them is bounded
     some = [known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(TRAIN_ROWS) for y in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]).dropDuplicates(["_id"]))
+    chosen = F.broadcast(some[0].unionByName(some[1]).groupBy("_id").agg(F.min("_y").alias("_y")))
     own = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"))
     rows = own.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_y", "_t")
     rows = rows.filter(F.length("_t") <= TRAIN_BYTES).orderBy("_id", "_t").limit(2 * TRAIN_ROWS).toArrow()
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 
 def score(docs: DataFrame, net: Net | None, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in column ``name``."""
+    """``docs`` with the probability of label 1 in column ``name``, which they must not have yet."""
     if net is None:
         return docs.withColumn(name, F.lit(0.5))
     small_batches(docs.sparkSession)

@@ -62,3 +62,20 @@ def test_run_is_the_stages_in_turn(spark):
         docs = stage(spark, docs, SF)
     key = lambda rows: Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows)
     assert key(got) == key(docs.collect())
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows(spark, stage):
+    """Nulls, empty and long texts, ties, repeated rows, clashing columns, and no rows at all."""
+    long = "many words in one long text " * 20_000
+    names = "_id _score _row _own _digest _key key block component size shard _t".split()
+    rows = [(1, "a plain text of a few words", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (3, "", "en", "s"), (4, long, None, "s"), (5, long, "de", None), (None, "no id here", "en", "t")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, 1, *names) for r in rows], kind)
+    out = stage(spark, docs, SF)
+    if stage is not corpus_pipeline.packing_stage:
+        assert out.columns == docs.columns
+        assert all(r._id == "_id" and r.size == "size" for r in out.collect())
+    else:
+        assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, None}
+    assert stage(spark, docs.limit(0), SF).count() == 0
