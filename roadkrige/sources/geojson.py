@@ -49,7 +49,11 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False, properties
     else:
         whole = spark.read.text(path, wholetext=True).select(F.from_json(F.ltrim(F.translate("value", "﻿", "")), f"struct<features:array<{_FEATURE}>>").alias("d"))
         text = whole.select(F.explode("d.features").alias("f"))
-    rows = text.select(F.col("f.geometry.type").alias("gtype"), _parts(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("parts"), F.col("f.properties").alias("p"))
+    # a geometry collection gives a row for each of its members
+    members = F.from_json("f.geometry.geometries", "array<struct<type:string,coordinates:string>>")
+    own = F.array(F.struct("f.geometry.type", "f.geometry.coordinates"))
+    flat = text.select(F.explode(F.coalesce(members, own)).alias("g"), F.col("f.properties").alias("p"))
+    rows = flat.select(F.col("g.type").alias("gtype"), _parts(F.col("g.type"), F.col("g.coordinates")).alias("parts"), "p")
     if properties is None:
         found = rows.agg(F.schema_of_variant_agg(F.try_parse_json("p")).alias("s")).first().s
         properties = _ddl(found) if found and found.startswith("OBJECT<") and found != "OBJECT<>" else ""
@@ -63,6 +67,15 @@ def lines_of(df: DataFrame) -> DataFrame:
     return df.filter(F.col("gtype").isin("LineString", "MultiLineString") & F.col("parts").isNotNull()).withColumn("pts", F.explode("parts")).filter(F.size("pts") > 0).drop("parts")
 
 
+def polygons_of(df: DataFrame) -> DataFrame:
+    """Polygonal features only, a row per ring in ``ring``, empty rings left out.
+
+    Rings are taken as they are; holes come as rings of their own.
+    """
+    kept = df.filter(F.col("gtype").isin("Polygon", "MultiPolygon") & F.col("parts").isNotNull())
+    return kept.withColumn("ring", F.explode("parts")).filter(F.size("ring") > 3).drop("parts")
+
+
 def feature_json(df: DataFrame, geometry: str = "pts", kind: str = "LineString") -> DataFrame:
     """One column ``value`` of features; ``geometry`` is a point, a line, or parts."""
     g = F.col(geometry)

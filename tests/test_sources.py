@@ -30,10 +30,13 @@ def test_geojson_mixed_geometries(spark, tmp_path):
     shapes = {"Point": [1, 2], "LineString": [[0, 0], [1, 1]], "MultiLineString": [[[0, 0], [1, 1]], [[2, 2], [3, 3]]], "Polygon": [[[0, 0], [1, 0], [1, 1], [0, 0]]], "MultiPolygon": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]}
     doc = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"k": i, "x": None if i else "t"}, "geometry": {"type": t, "coordinates": c}} for i, (t, c) in enumerate(shapes.items())]}
     doc["features"].append({"type": "Feature", "properties": {"k": 9}, "geometry": None})
+    both = [{"type": "Point", "coordinates": [5, 5]}, {"type": "Polygon", "coordinates": shapes["Polygon"]}]
+    doc["features"].append({"type": "Feature", "properties": {"k": 10}, "geometry": {"type": "GeometryCollection", "geometries": both}})
     (tmp_path / "a.geojson").write_text("﻿" + json.dumps(doc))
     df = geojson.read_geojson(spark, f"{tmp_path}/a.geojson")
-    assert df.count() == 6 and df.filter("parts is null").count() == 1
+    assert df.count() == 8 and df.filter("parts is null").count() == 1
     assert geojson.lines_of(df).count() == 3
+    assert sorted(r.k for r in geojson.polygons_of(df).collect()) == [3, 4, 10]
     assert df.filter("gtype = 'Polygon'").first().parts[0][2].x == 1.0
 
 
