@@ -33,7 +33,8 @@ from .text import WORD_RE
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
-N_SEEDS = 32
+N_SEEDS = 128
+PER_HASH = 4  # draws that one hash holds
 BROADCAST_SOURCES = 100_000
 
 
@@ -42,9 +43,10 @@ def n_words(text) -> F.Column:
 
 
 def draw(doc_id, seed) -> F.Column:
-    """A number in [0, 1) made of the id and the seed."""
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), seed.cast("string"))
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    """A number in [0, 1) made of the id and the seed: eight of the digits of a hash."""
+    turn, place = F.floor(seed / PER_HASH).cast("int"), (seed % PER_HASH).cast("int")
+    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), turn.cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), place * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -82,11 +84,14 @@ def rates(sizes: DataFrame) -> DataFrame:
     goal = goal.withColumn("base", F.floor(rate)).withColumn("part", rate - F.floor(rate))
     goal = scratch.table(goal.withColumnRenamed("source", "_source"), "targets")
     drawn = sizes.join(small(goal, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    sums = [F.sum(F.when(draw(F.col("doc_id"), F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"_{k}") for k in range(N_SEEDS)]
-    drawn = drawn.groupBy("source").agg(*sums)
-    off = lambda k: F.abs(F.col(f"_{k}") + F.col("base") * F.col("source_size") - F.col("target"))
-    best = F.array_min(F.array(*[F.struct(off(k).alias("off"), F.lit(k).alias("seed")) for k in range(N_SEEDS)]))["seed"]
-    out = goal.join(drawn, F.col("_source").eqNullSafe(F.col("source"))).select("_source", "source_size", "target", "base", "part", best.alias("_seed"))
+    drawn = drawn.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(N_SEEDS // PER_HASH - 1))))
+    seed = lambda i: F.col("_turn") * PER_HASH + i
+    sums = [F.sum(F.when(draw(F.col("doc_id"), seed(i)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"_{i}") for i in range(PER_HASH)]
+    drawn = drawn.groupBy("source", "_turn").agg(*sums).join(small(goal, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    off = lambda i: F.abs(F.col(f"_{i}") + F.col("base") * F.col("source_size") - F.col("target"))
+    best = F.least(*[F.struct(off(i).alias("off"), seed(i).alias("seed")) for i in range(PER_HASH)])
+    drawn = drawn.groupBy("source").agg(F.min(best)["seed"].alias("_seed"))
+    out = goal.join(drawn, F.col("_source").eqNullSafe(F.col("source"))).select("_source", "source_size", "target", "base", "part", "_seed")
     return scratch.table(out, "rates")
 
 
@@ -142,7 +147,7 @@ ORACLE_SQL = {
         b AS (SELECT *, floor(rate) AS base, rate - floor(rate) AS part FROM q),
         e AS (
             SELECT d.doc_id, d.source, d.size, b.s, b.target, b.base, k.seed,
-                   ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || k.seed), 1, 8))::BIGINT / 4294967296.0::DOUBLE < b.part AS extra
+                   ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || (k.seed // {PER_HASH})), k.seed % {PER_HASH} * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < b.part AS extra
             FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source CROSS JOIN (SELECT unnest(range({N_SEEDS})) AS seed) k),
         f AS (
             SELECT source, seed, abs(sum(CASE WHEN extra THEN size ELSE 0 END)::BIGINT + any_value(base) * any_value(s) - any_value(target)) AS off
