@@ -33,7 +33,7 @@ BITMAP_BYTES = 4096  # of bitmap_construct_agg
 BITS_PER_ROW = 16
 MAX_FILTER_BITS = 1 << 31
 BROADCAST_LIMIT = 64 << 20
-DROPPED_ROW_BYTES = 160
+DROPPED_ROW_BYTES = GROUP_ROW_BYTES = 160
 
 
 def digest(text) -> F.Column:
@@ -93,6 +93,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", broa
     groups = maybe.groupBy(F.col("text_sha256").alias("_key")).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # written, so that the join has shuffles of its own, which a hot key's rows can be split in
     groups = scratch.table(groups, "groups")
+    if groups.count() * GROUP_ROW_BYTES <= broadcast_limit:
+        groups = F.broadcast(groups)
     grouped = maybe.join(groups, F.col("text_sha256") == F.col("_key")).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
