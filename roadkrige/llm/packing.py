@@ -41,7 +41,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4096
 PIECE = 512
-GROUP = 4096
+GROUP = 2048
 CACHE = 1_000_000
 
 
@@ -100,8 +100,27 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         k += max(1, int((longest - capacity) * k / capacity / 3))
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+_OPEN = np.ones(256, dtype=bool)  # bytes next to which a word may be cut: visible ASCII, not part of a special token's ends
+_OPEN[0x80:] = _OPEN[:0x21] = _OPEN[0x7F] = False
+_OPEN[list(b"<|>")] = False
+
+
+def letter_cuts(data: np.ndarray) -> np.ndarray:
+    """Where an ASCII letter meets another visible ASCII character inside a word.
+
+    A pre-token of the tokenizer never goes on there, but for contractions,
+    which start with an apostrophe.
+    """
+    letter, open_ = _LETTER[data], _OPEN[data]
+    out = np.zeros(len(data), dtype=bool)
+    out[1:] = (letter[1:] != letter[:-1]) & open_[1:] & open_[:-1] & ~(letter[1:] & (data[:-1] == 0x27))
+    return out
+
+
 class Tokenizer:
-    """Ids of texts, made of the ids of their distinct words.
+    """Ids of texts, made of the ids of their distinct words (in lower case, cut at punctuation).
 
     The ids of words met before are kept, up to ``CACHE`` words, in arrays:
     ``keys`` are sorted word hashes, word i has ids flat[begin[i]:][:size[i]].
@@ -128,8 +147,12 @@ class Tokenizer:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts and the n + 1 offsets of the texts in them."""
-        words = Words(data, offsets)
-        distinct, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        words = Words(data, offsets, letter_cuts(data))
+        hashes = words.hashes(lower=True)
+        bars = np.concatenate(([0], np.cumsum(data == 0x7C)))
+        if bars[-1]:  # the special tokens have bars, and their case counts
+            hashes = np.where(bars[words.ends] > bars[words.starts], ~words.hashes(), hashes)
+        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > CACHE:
             self.clear()
         new = np.flatnonzero(~np.isin(distinct, self.keys, assume_unique=True))

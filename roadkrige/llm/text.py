@@ -87,9 +87,12 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
 
 
 class Words:
-    """The words of a block of texts: starts, ends and, by text, first word and end."""
+    """The words of a block of texts: starts, ends and, by text, first word and end.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    ``cuts`` marks bytes within words at which a word is cut further.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
         n = len(data)
         inside = ~_IS_SPACE[data]
@@ -97,11 +100,15 @@ class Words:
         begins[1:] &= ~inside[:-1]
         cut = offsets[1:-1][offsets[1:-1] < n]
         begins[cut] |= inside[cut]
+        if cuts is not None:
+            begins |= cuts
         self.starts = np.flatnonzero(begins)
         ends = inside.copy()
         ends[:-1] &= ~inside[1:]
         cut = cut[cut > 0] - 1
         ends[cut] |= inside[cut]
+        if cuts is not None:
+            ends[:-1] |= cuts[1:]
         self.ends = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.starts, offsets)  # of n + 1 texts
 

@@ -187,6 +187,21 @@ def test_packing(odd, docs):
     assert sum(r.length for r in out) / (4096 * len(sequences)) > 0.97
 
 
+def test_cut_words_give_the_same_ids():
+    import tokenizers
+
+    model = tokens.default_model(packing.VOCABULARY)
+    tok, own = tokenizers.Tokenizer.from_file(model), packing.Tokenizer(model)
+    rng = np.random.default_rng(12)
+    parts = ["it's", "IT'S", "we'll", "'re", "a.'s", "x'", "'", "''s", "don't!", "(word", "3d", "d3", "é,", ",é", "e\u0301.", "…,", "<|endoftext|>", "<|EndOfText|>", "a<|startoftext|>b", "|", "a|b", "<", "!!", "***", "Σ", "ΑΣ.", "İ", "日本", "\x1c", "\x7f", "ﬁ", "_", "a_b", "１2", "½", "s", "re", "\u00a0", "\u3000x"]
+    texts = ["".join(parts[i] + (" " if rng.random() < 0.3 else "") for i in rng.integers(0, len(parts), 12)) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    ids, ends = own.ids(np.frombuffer(b"".join(raw), np.uint8), at)
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1024, 3000)
