@@ -25,10 +25,18 @@ def class_counts(roads: DataFrame, poi: DataFrame, radii: dict[str, float], road
     schema does not depend on the data.  Roads without points get zeros.
     """
     pairs = within_join(roads.select(road_id, "pts"), poi.select("x", "y", "l1"), max(radii.values()), strict=True)
+    # pairs are counted by class and ring first, so that the distance is looked at once a pair
+    rings = sorted(set(radii.values()))
+    ring = F.lit(len(rings))
+    for i, r in reversed(list(enumerate(rings))):
+        ring = F.when(F.col("d2") < r * r, i).otherwise(ring)
+    ringed = pairs.groupBy(road_id, "l1", ring.alias("_ring")).agg(F.count(F.lit(1)).alias("_n"))
     counts = [
-        F.count_if((F.col("d2") < r * r) & (F.col("l1") == c)).alias(f"{prefix}_{c}") for prefix, r in radii.items() for c in CLASSES
+        F.sum(F.when((F.col("_ring") <= rings.index(r)) & (F.col("l1") == c), F.col("_n")).otherwise(0)).alias(f"{prefix}_{c}")
+        for prefix, r in radii.items()
+        for c in CLASSES
     ]
-    table = pairs.groupBy(road_id).agg(*counts)
+    table = ringed.groupBy(road_id).agg(*counts)
     names = [f"{prefix}_{c}" for prefix in radii for c in CLASSES]
     joined = roads.select(road_id, "pts").join(table, road_id, "left")
     return joined.select(road_id, "pts", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])

@@ -48,6 +48,12 @@ def distance2_to(pts: Column, x, y) -> Column:
     return F.array_min(F.transform(each, lambda s: point_piece_distance2(x, y, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])))
 
 
+def _first_piece(pts: Column) -> dict[str, Column]:
+    """End points of the first piece of a line (a point twice), and whether there are more."""
+    a, b = F.element_at(pts, 1), F.coalesce(F.try_element_at(pts, F.lit(2)), F.element_at(pts, 1))
+    return {"_ax": a["x"], "_ay": a["y"], "_bx": b["x"], "_by": b["y"], "_bent": F.size(pts) > 2}
+
+
 def within_join(lines: DataFrame, points: DataFrame, radius: float, strict: bool = False, size: float | None = None, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a line (column ``pts``) and a point (``x``, ``y``) within ``radius``, with ``d2``.
 
@@ -55,10 +61,14 @@ def within_join(lines: DataFrame, points: DataFrame, radius: float, strict: bool
     sides must differ, but for those in ``on``, which must be equal.
     """
     size = float(size or max(radius, 1.0))
-    keyed = lines.filter(F.size("pts") > 0).withColumn("_cell", F.explode(line_cells(F.col("pts"), radius, size)))
+    keyed = lines.filter(F.size("pts") > 0).withColumns(_first_piece(F.col("pts")))
+    keyed = keyed.withColumn("_cell", F.explode(line_cells(F.col("pts"), radius, size)))
     keyed = keyed.select("*", F.col("_cell.i").alias("_i"), F.col("_cell.j").alias("_j")).drop("_cell")
     placed = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumns({"_i": cell(F.col("x"), size), "_j": cell(F.col("y"), size)})
-    joined = keyed.join(placed, ["_i", "_j", *on]).drop("_i", "_j").withColumn("d2", distance2_to(F.col("pts"), F.col("x"), F.col("y")))
+    # straight lines, the common case, need no walk over an array
+    straight = point_piece_distance2("x", "y", "_ax", "_ay", "_bx", "_by")
+    d2 = F.when(F.col("_bent"), distance2_to(F.col("pts"), F.col("x"), F.col("y"))).otherwise(straight)
+    joined = keyed.join(placed, ["_i", "_j", *on]).withColumn("d2", d2).drop("_i", "_j", "_ax", "_ay", "_bx", "_by", "_bent")
     return joined.filter(F.col("d2") < radius * radius if strict else F.col("d2") <= radius * radius)
 
 
@@ -117,7 +127,10 @@ def lines_in_circles(lines: DataFrame, centres: DataFrame, radius: float) -> Dat
         return clip_to_circle(F.col("x"), F.col("y"), radius, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"])
 
     pairs = within_join(lines, centres, radius)
-    return pairs.withColumn("clip_m", F.aggregate(F.transform(pieces(F.col("pts")), inside), F.lit(0.0), lambda a, v: a + v))
+    a, b = F.element_at("pts", 1), F.element_at("pts", -1)
+    straight = clip_to_circle(F.col("x"), F.col("y"), radius, a["x"], a["y"], b["x"], b["y"])
+    bent = F.aggregate(F.transform(pieces(F.col("pts")), inside), F.lit(0.0), lambda a, v: a + v)
+    return pairs.withColumn("clip_m", F.when(F.size("pts") > 2, bent).otherwise(straight))
 
 
 def overlay_length(pts: Column, ring: Column) -> Column:
