@@ -20,7 +20,8 @@ merge-joined with the runs before it:
    and the full hash of every window, with the fingerprint, decides.
 
 ``compact`` merges all runs into one; ``add`` does so when there are more than
-``MAX_RUNS``.  Runs lie in the shared folder.  Fingerprints are compared by
+``MAX_RUNS``.  Runs lie in the shared folder.  No side of a join is broadcast
+by this module, as all of them grow with the corpus.  Fingerprints are compared by
 Spark's aggregation and joins over all data, so the state of a task does not
 grow with a fingerprint's frequency.
 
@@ -47,8 +48,6 @@ WINDOW = 50
 GRAM = 16
 MAX_RUNS = 4
 BATCHES = 2
-BROADCAST_LIMIT = 64 << 20
-ROW_BYTES = 48
 _CONTEXT = 0xA0761D6478BD642F | 1
 
 
@@ -137,10 +136,6 @@ def window_hashes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"print long, window long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, first int")
 
 
-def _small(df: DataFrame, row_bytes: int = ROW_BYTES) -> DataFrame:
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_LIMIT else df
-
-
 class FingerprintIndex:
     """The runs in the shared folder; ``add`` deduplicates a batch against them and itself."""
 
@@ -174,20 +169,19 @@ class FingerprintIndex:
             F.min("doc_id").alias("least"), F.max("doc_id").alias("_most"), F.max("new").alias("_new"), (F.min("context") != F.max("context")).alias("several")
         )
         prints = scratch.table(prints.filter("_new and least <> _most").select("_print", "least", "several"), "live")
-        live = scratch.table(together.join(_small(prints), F.col("print") == F.col("_print")).drop("_print"), "entries")
+        live = scratch.table(together.join(prints, F.col("print") == F.col("_print")).drop("_print"), "entries")
         contexts = scratch.table(live.groupBy(F.col("context").alias("_context")).agg(F.min("doc_id").alias("holder")), "contexts")
-        placed = scratch.table(live.join(_small(contexts), F.col("context") == F.col("_context")).drop("_context"), "placed")
+        placed = scratch.table(live.join(contexts, F.col("context") == F.col("_context")).drop("_context"), "placed")
         whole = placed.filter("new and holder < doc_id").select("doc_id", "text_key", F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + WINDOW).alias("b"))
 
         open_ = placed.filter("several and holder = doc_id")
         spots = open_.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("first", "count", "print")).alias("spots"))
         spots = scratch.table(spots, "spots")
-        wanted = F.broadcast(spots) if open_.count() * ROW_BYTES <= BROADCAST_LIMIT else spots
-        texts = corpus.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "spots")
+        texts = corpus.join(spots, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("doc_id", "text_key", "text", "spots")
         windows = scratch.table(window_hashes(texts), "windows")
         holders = windows.groupBy(F.col("print").alias("_print"), F.col("window").alias("_window")).agg(F.min("doc_id").alias("holder"), F.max("doc_id").alias("_last"))
         holders = scratch.table(holders.filter("holder <> _last").drop("_last"), "holders")
-        again = windows.join(_small(holders), (F.col("print") == F.col("_print")) & (F.col("window") == F.col("_window")) & (F.col("holder") < F.col("doc_id")))
+        again = windows.join(holders, (F.col("print") == F.col("_print")) & (F.col("window") == F.col("_window")) & (F.col("holder") < F.col("doc_id")))
         own = placed.filter("new").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
         ranges = whole.unionByName(
             again.join(own, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi").select("doc_id", "text_key", F.col("first").alias("a"), (F.col("first") + WINDOW).alias("b"))
@@ -203,9 +197,7 @@ class FingerprintIndex:
 def removal(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of ``identified`` documents."""
     table = ranges.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "ranges")
-    size = table.agg(F.sum(F.size("ranges") * 16 + ROW_BYTES)).first()[0] or 0
-    side = F.broadcast(table) if size <= BROADCAST_LIMIT else table
-    joined = docs.join(side, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").select("doc_id", "text", "ranges")
+    joined = docs.join(table, (F.col("doc_id") == F.col("_id")) & (F.col("text_key") == F.col("_key")), "left").select("doc_id", "text", "ranges")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,10 +57,8 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("batches,max_runs,limit", [(1, 4, None), (2, 4, None), (5, 2, 0)])
-def test_planted(spark, monkeypatch, planted, batches, max_runs, limit):
-    if limit is not None:
-        monkeypatch.setattr(substring, "BROADCAST_LIMIT", limit)
+@pytest.mark.parametrize("batches,max_runs", [(1, 4), (2, 4), (5, 2)])
+def test_planted(spark, planted, batches, max_runs):
     df = spark.createDataFrame(planted, "doc_id long, text string").selectExpr("doc_id", "text", "1 as first", "2 as text_key")
     assert digests(substring.deduplicate(df, batches=batches, max_runs=max_runs)) == brute(planted)
 
