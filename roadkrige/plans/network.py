@@ -166,11 +166,12 @@ def kriging_assign(spark, d):
     return K.assign(roads, estimates, "road_id").select("road_id", "aadt")
 
 
-def labelled_sample(spark, d, n: int = 150):
-    """(x, y, mean count) of the first labelled roads by id: a kriging sample of fixed size."""
+def labelled_sample(spark, d):
+    """(x, y, mean count) of all labelled roads; more than the dense system takes are an error, before they are fetched."""
     mean = R.mean_by_key(X.observations(spark, d)).withColumnRenamed("osm_id", "road_id")
-    rows = centres(spark, d).join(mean, "road_id").orderBy("road_id").limit(n).toPandas()
-    return rows[["x", "y", "aadt_obs"]].to_numpy(float)
+    rows = centres(spark, d).join(mean, "road_id").limit(K.MAX_SAMPLE + 1).toPandas()
+    K.check_size(len(rows))
+    return rows.sort_values("road_id")[["x", "y", "aadt_obs"]].to_numpy(float)
 
 
 @query()

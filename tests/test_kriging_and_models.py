@@ -173,3 +173,31 @@ def test_permutation_importance_finds_the_column_that_matters(spark):
     model = M.least_squares(["a", "b"], None, "y").fit(df)
     got = {r.feature: r.importance_mean for r in M.permutation_importance(df, ["a", "b"], "y", model.transform, repeats=2).collect()}
     assert got["a"] > 1 and abs(got["b"]) < 0.05
+
+
+@pytest.mark.parametrize("name, build", [("ok_fixed_variogram", K.ordinary_kriging), ("uk_spherical", K.spherical_kriging)])
+def test_kriging_queries_use_all_labelled_roads(spark, name, build):
+    from roadkrige.plans import fixtures as X
+    from roadkrige.plans.network import labelled_sample
+    from roadkrige.plans.registry import QUERIES
+    from roadkrige.plans.spatial import centres
+
+    sf = "/root/testdata/sf0.01"
+    counted = X.observations(spark, sf).filter("aadt is not null").select("osm_id").distinct().count()
+    sample = labelled_sample(spark, sf)
+    assert len(sample) == counted > 150
+    at = centres(spark, sf).toPandas().set_index("road_id")
+    d = np.sqrt(((at[["x", "y"]].to_numpy(float)[:, None] - sample[None, :, :2]) ** 2).sum(2))
+    want = dict(zip(at.index, build(sample).predict(d), strict=True))
+    assert {r.road_id: r.estimate for r in QUERIES[name](spark, sf).collect()} == pytest.approx(want)
+
+
+def test_spherical_fit_in_parts_equals_all_pairs_and_large_samples_are_refused(sample):
+    i, j = np.triu_indices(len(sample), 1)
+    d = np.sqrt(((sample[i, :2] - sample[j, :2]) ** 2).sum(1))
+    nugget, psill, reach = K.fit_spherical(d, 0.5 * (sample[i, 2] - sample[j, 2]) ** 2)
+    model = K.spherical_kriging(sample)
+    assert model.covariance.parameters == pytest.approx((nugget, psill, reach))
+    for build in (K.ordinary_kriging, K.spherical_kriging):
+        with pytest.raises(ValueError, match="at most"):
+            build(np.zeros((K.MAX_SAMPLE + 1, 3)))
