@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -93,6 +96,14 @@ def systematic_pairs(n: int, most: int = 5000) -> tuple[int, int]:
     return max(1, total // max(1, most)), most
 
 
+def thinned_indices(n: int, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+    """The same pairs as ``thinned_pairs`` takes, as arrays; pairs beyond ``most`` are not made."""
+    step, limit = systematic_pairs(n, most)
+    pairs = list(islice(((i, j) for i in range(n) for j in range(i + 1, n, step)), limit))
+    i, j = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    return i, j
+
+
 def thinned_pairs(items: DataFrame, order: str, columns: list[str], most: int = 5000) -> DataFrame:
     """Pairs i < j of numbered items with (j - i - 1) divisible by the step, the first ``most`` in order.
 

@@ -116,27 +116,25 @@ def perm_importance(spark, d):
     return M.permutation_importance(rows.filter("is_test").select(*NUMERIC, "aadt_obs"), NUMERIC, "aadt_obs", model.transform, repeats=2)
 
 
-def regression_kriging(spark, d, predict, limit: int = 400):
+def regression_kriging(spark, d, predict):
     """Regression, residuals per snapped node, variogram over network distance, kriged residuals for all roads."""
     table, rows = labelled(spark, d)
     fitted = storage.table(predict(rows.filter("not is_test"), table), "fitted")
     edges, nodes, _ = _graph(spark, d)
     at = storage.table(N.snap(centres(spark, d), nodes, "road_id").select("road_id", "node_id"), "snapped")
     resid = rows.filter("not is_test").select("road_id", "aadt_obs").join(fitted, "road_id").join(at, "road_id")
-    resid = resid.groupBy("node_id").agg(F.avg(F.col("aadt_obs") - F.col("pred")).alias("r")).orderBy("node_id").limit(limit)
-    resid = storage.table(resid, "residuals")
-    dist = storage.table(N.distance_matrix(edges, resid, nodes, float("inf")), "distances")
-    sample = resid.orderBy("node_id").toPandas()
-    place = {n: i for i, n in enumerate(sample.node_id)}
-    between = np.full((len(place), len(place)), np.inf)
-    for s, t, v in dist.join(resid.select(F.col("node_id").alias("dst")), "dst", "left_semi").toPandas()[["src", "dst", "dist"]].itertuples(index=False):
-        between[place[s], place[t]] = v
-    i, j = np.triu_indices(len(place), 1)
+    resid = storage.table(resid.groupBy("node_id").agg(F.avg(F.col("aadt_obs") - F.col("pred")).alias("r")), "residuals")
+    sample = resid.limit(K.MAX_SAMPLE + 1).toPandas()
+    K.check_size(len(sample))
+    sample = sample.sort_values("node_id")
+    ids = sample.node_id.tolist()
+    edges = storage.table(edges, "graph")
+    between = N.distances_between(edges, resid, ids)
     r = sample.r.to_numpy(float)
-    step, most = R.systematic_pairs(len(r))
-    keep = np.flatnonzero((j - i - 1) % step == 0)[:most]
-    nugget, c, a = K.fit_exponential(between[i[keep], j[keep]], 0.5 * (r[i[keep]] - r[j[keep]]) ** 2, float(r.var()))
-    kriged = K.krige_distances(K.residual_kriging(between, r, nugget, c, a), dist, list(sample.node_id))
+    i, j = R.thinned_indices(len(r))
+    nugget, c, a = K.fit_exponential(between[i, j], 0.5 * (r[i] - r[j]) ** 2, float(r.var()))
+    model = K.residual_kriging(between, r, nugget, c, a)
+    kriged = K.krige_sums(model, N.network_distance(edges, resid, nodes), ids, nodes.withColumnRenamed("node_id", "dst"), c, a)
     by_road = at.join(kriged, F.col("node_id") == F.col("dst")).select("road_id", "estimate")
     out = K.combine(fitted, by_road, "road_id")
     truth = rows.select("road_id", "is_test")

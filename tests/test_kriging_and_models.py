@@ -201,3 +201,39 @@ def test_spherical_fit_in_parts_equals_all_pairs_and_large_samples_are_refused(s
     for build in (K.ordinary_kriging, K.spherical_kriging):
         with pytest.raises(ValueError, match="at most"):
             build(np.zeros((K.MAX_SAMPLE + 1, 3)))
+
+
+def test_sums_over_the_network_equal_the_dense_prediction(spark):
+    rng = np.random.default_rng(8)
+    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 25, 60), rng.integers(0, 25, 60), rng.uniform(1, 9, 60), strict=True)], "src long, dst long, w double")
+    edges = edges.unionByName(spark.createDataFrame([(90, 91, 1.0)], edges.schema))
+    nodes = spark.createDataFrame([(i,) for i in [*range(25), 90, 91]], "node_id long")
+    ids = [1, 4, 9, 16]
+    sources = nodes.filter(F.col("node_id").isin(ids))
+    between, r = N.distances_between(edges, sources, ids), np.array([3.0, -1.0, 2.0, 5.0])
+    matrix = {(x.src, x.dst): x.dist for x in N.distance_matrix(edges, sources, nodes, float("inf")).collect()}
+    assert between.tolist() == [[matrix[s, t] for t in ids] for s in ids]
+    model = K.residual_kriging(between, r, 0.2, 2.0, 6.0)
+    got = {x.dst: x.estimate for x in K.krige_sums(model, N.network_distance(edges, sources, nodes), ids, nodes.withColumnRenamed("node_id", "dst"), 2.0, 6.0).collect()}
+    want = {t: float(model.predict(np.array([[matrix[s, t] for s in ids]]))[0]) for t in [*range(25), 90, 91]}
+    assert got == pytest.approx(want)
+    i, j = R.thinned_indices(30, 50)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(i, j) for i in range(30) for j in range(i + 1, 30, 8)][:50]
+
+
+def test_regression_kriging_uses_every_residual(spark, monkeypatch):
+    from pyspark.sql import Row
+
+    from roadkrige.plans import models as P
+
+    sizes, built = [], K.residual_kriging
+    monkeypatch.setattr(K, "residual_kriging", lambda between, r, *rest: sizes.append(len(r)) or built(between, r, *rest))
+    rows = [Row(road_id=i, x=50.0 * i, y=0.0, aadt_obs=float(i % 7), is_test=False) for i in range(450)]
+    table = spark.createDataFrame(rows)
+    nodes = table.select(F.col("road_id").alias("node_id"), "x", "y")
+    edges = spark.range(449).selectExpr("id as src", "id + 1 as dst", "50.0D as w")
+    monkeypatch.setattr(P, "labelled", lambda spark, d: (table.drop("is_test"), table))
+    monkeypatch.setattr(P, "centres", lambda spark, d: table.select("road_id", "x", "y"))
+    monkeypatch.setattr(P, "_graph", lambda spark, d: (edges, nodes, nodes))
+    out = P.regression_kriging(spark, "", lambda train, t: t.select("road_id", F.lit(3.0).alias("pred")))
+    assert out.filter("rk_resid is null").count() == 0 and sizes == [450]
