@@ -116,8 +116,7 @@ def variogram_cloud(spark, d):
 
 @query()
 def variogram_fit(spark, d):
-    rows = _cloud(spark, d).orderBy("h", "gamma")
-    nugget, c, a = K.fit_variogram(rows, 10.0)
+    nugget, c, a = K.fit_variogram(_cloud(spark, d), 10.0)
     return spark.createDataFrame([(nugget, c, a)], "nugget double, c double, a double")
 
 

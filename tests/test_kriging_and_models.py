@@ -237,3 +237,13 @@ def test_regression_kriging_uses_every_residual(spark, monkeypatch):
     monkeypatch.setattr(P, "_graph", lambda spark, d: (edges, nodes, nodes))
     out = P.regression_kriging(spark, "", lambda train, t: t.select("road_id", F.lit(3.0).alias("pred")))
     assert out.filter("rk_resid is null").count() == 0 and sizes == [450]
+
+
+def test_variogram_fit_sees_all_lags(spark):
+    rng = np.random.default_rng(9)
+    h = np.concatenate((np.full(6000, 5.0), rng.choice([10.0, 20.0, 40.0, 80.0, 160.0], 3000)))
+    gamma = (0.5 + 3.0 * (1 - np.exp(-h / 30))) * rng.uniform(0.5, 1.5, len(h))
+    cloud = spark.createDataFrame([(float(a), float(b)) for a, b in zip(h, gamma, strict=True)], "h double, gamma double").orderBy("h", "gamma")
+    assert K.fit_variogram(cloud, 100.0) == pytest.approx(K.fit_exponential(h, gamma, 100.0), rel=1e-6)
+    empty = K.fit_variogram(cloud.limit(0), 4.0)
+    assert empty == (K.DEFAULT_NUGGET, 4.0, K.DEFAULT_RANGE)
