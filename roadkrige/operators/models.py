@@ -109,8 +109,11 @@ def least_squares(numeric: list[str], category: str | None, label: str) -> Pipel
 
 
 def to_numpy(df: DataFrame, columns: list[str], limit: int = SAMPLE_ROWS) -> np.ndarray:
-    """A bounded labelled sample for a dense solver."""
-    return df.select(*[F.col(c).cast("double") for c in columns]).limit(limit).toPandas().to_numpy()
+    """The labelled rows for a dense solver; more than ``limit`` are an error."""
+    rows = df.select(*[F.col(c).cast("double") for c in columns]).limit(limit + 1).toPandas().to_numpy()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} labelled rows; the dense solver takes at most {limit}")
+    return rows
 
 
 class Ridge:
@@ -157,8 +160,15 @@ class SVR:
         self.columns, self.C, self.epsilon, self.gamma, self.sweeps = columns, C, epsilon, gamma, sweeps
 
     def _kernel(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T
-        return np.exp(-self.width * np.maximum(d, 0.0)) + 1.0  # the added constant is the kernel of a bias
+        d = a @ b.T  # in place from here, as it is the largest array of a fit
+        d *= -2
+        d += (a * a).sum(1)[:, None]
+        d += (b * b).sum(1)
+        np.maximum(d, 0.0, out=d)
+        d *= -self.width
+        np.exp(d, out=d)
+        d += 1.0  # the added constant is the kernel of a bias
+        return d
 
     def fit_arrays(self, x: np.ndarray, y: np.ndarray) -> SVR:
         self.mean, scale = x.mean(0), x.std(0)

@@ -76,15 +76,14 @@ def predict_network(spark, d):
 @query()
 def svr_pred(spark, d):
     table, rows = labelled(spark, d)
-    model = M.SVR(NUMERIC).fit(rows.filter("not is_test").orderBy("road_id").limit(600), "aadt_obs")
+    model = M.SVR(NUMERIC).fit(rows.filter("not is_test").orderBy("road_id"), "aadt_obs")
     return model.transform(table).select("road_id", F.col("pred").alias("aadt_pred_reg"))
 
 
 @query()
 def grid_search(spark, d):
     _, rows = labelled(spark, d)
-    grid = {"C": (3.0, 10.0), "epsilon": (0.1, 0.3), "gamma": ("scale", 0.1)}
-    return M.grid_search(rows.orderBy("road_id").limit(300), NUMERIC, "aadt_obs", "fold", grid)
+    return M.grid_search(rows.orderBy("road_id"), NUMERIC, "aadt_obs", "fold", M.SVR_GRID)
 
 
 @query()
@@ -165,11 +164,11 @@ def model_compare(spark, d):
     models = {
         "linear": lambda: M.least_squares(NUMERIC, "type", "aadt_obs").fit(train).transform,
         "forest": lambda: M.forest(NUMERIC, "type", "aadt_obs", trees=10, depth=8, seed=0).fit(train).transform,
-        "svr": lambda: M.SVR(NUMERIC).fit(train.orderBy("road_id").limit(300), "aadt_obs").transform,
+        "svr": lambda: M.SVR(NUMERIC).fit(train.orderBy("road_id"), "aadt_obs").transform,
     }
     for name, fit in models.items():
         pred = storage.table(fit()(rows).select("road_id", "x", "y", "aadt_obs", "is_test", "pred"), "pred")
-        sample = pred.filter("not is_test").orderBy("road_id").limit(200).select("x", "y", (F.col("aadt_obs") - F.col("pred")).alias("r")).toPandas().to_numpy(float)
+        sample = pred.filter("not is_test").orderBy("road_id").limit(K.MAX_SAMPLE + 1).select("x", "y", (F.col("aadt_obs") - F.col("pred")).alias("r")).toPandas().to_numpy(float)
         kriged = K.krige_points(K.spherical_kriging(sample), sample[:, :2], pred.filter("is_test"), ["road_id"])
         both = K.combine(pred.filter("is_test"), kriged, "road_id")
         for kind, column in (("reg", "pred"), ("rk", "aadt_pred_rk")):

@@ -247,3 +247,24 @@ def test_variogram_fit_sees_all_lags(spark):
     assert K.fit_variogram(cloud, 100.0) == pytest.approx(K.fit_exponential(h, gamma, 100.0), rel=1e-6)
     empty = K.fit_variogram(cloud.limit(0), 4.0)
     assert empty == (K.DEFAULT_NUGGET, 4.0, K.DEFAULT_RANGE)
+
+
+def test_support_vector_queries_take_every_labelled_row(spark, monkeypatch):
+    from roadkrige.plans import models as P
+
+    n, train = 700, 630
+    rows = spark.range(n).selectExpr("id as road_id", "double(id % 26) as x", "double(id div 26) as y", "double(id % 9) as maxspeed_num", "string(id % 3) as type",
+                                     "double(id % 13) + double(id % 9) as aadt_obs", "id % 10 = 0 as is_test", "int(id % 3) as fold").toPandas()
+    table = spark.createDataFrame(rows)
+    monkeypatch.setattr(P, "labelled", lambda spark, d: (table, table))
+    fits, kriged, searched = [], [], []
+    fit, krige = M.SVR.fit_arrays, K.spherical_kriging
+    monkeypatch.setattr(M.SVR, "fit_arrays", lambda self, x, y: fits.append(len(x)) or fit(self, x, y))
+    monkeypatch.setattr(K, "spherical_kriging", lambda sample: kriged.append(len(sample)) or krige(sample))
+    monkeypatch.setattr(M, "grid_search", lambda df, columns, label, fold, grid=None: searched.append((df.count(), grid or M.SVR_GRID)))
+    P.svr_pred(spark, "")
+    assert P.model_compare(spark, "").count() == 6
+    P.grid_search(spark, "")
+    assert fits == [train, train] and kriged == [train] * 3 and searched == [(n, M.SVR_GRID)]
+    with pytest.raises(ValueError, match="at most"):
+        M.SVR(["x"]).fit(spark.range(M.SAMPLE_ROWS + 1).selectExpr("double(id) as x", "double(id) as t"), "t")
