@@ -13,9 +13,8 @@ from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .relational import seeded_hash, stratified_sample
+from .relational import dense_id, seeded_hash, stratified_sample
 
 SEED = 42
 TEST_RATIO = 0.2
@@ -123,8 +122,39 @@ class Ridge:
         self.columns, self.alphas = columns, alphas
 
     def fit(self, df: DataFrame, label: str) -> Ridge:
-        x = to_numpy(df, [*self.columns, label])
-        self.fit_arrays(x[:, :-1], x[:, -1])
+        """Two passes over all rows: moments, then the leave-one-out errors of each penalty."""
+        names = [*self.columns, label]
+        rows = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+        at = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+        got = rows.agg(F.count(F.lit(1)), *[F.count(f"v{i}") for i in range(len(names))], *[F.avg(f"v{i}") for i in range(len(names))], *[F.covar_pop(f"v{i}", f"v{j}") for i, j in at]).first()
+        n, seen, means = got[0], got[1 : 1 + len(names)], got[1 + len(names) : 1 + 2 * len(names)]
+        if n == 0 or any(k < n for k in seen):
+            raise ValueError(f"ridge regression needs rows without nulls in {names}")
+        moments = np.zeros((len(names), len(names)))
+        for (i, j), v in zip(at, got[1 + 2 * len(names) :], strict=True):
+            moments[i, j] = moments[j, i] = v
+        self.mean, self.centre = np.array(means[:-1]), means[-1]
+        scale = np.sqrt(np.diag(moments)[:-1])
+        self.scale = np.where(scale > 0, scale, 1.0)
+        gram = n * moments[:-1, :-1] / np.outer(self.scale, self.scale)
+        right = n * moments[:-1, -1] / self.scale
+        inverses = [np.linalg.inv(gram + a * np.eye(len(scale))) for a in self.alphas]
+        mean, scale, centre = self.mean, self.scale, self.centre
+
+        def errors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                x = frame.to_numpy(float)
+                z, y = (x[:, :-1] - mean) / scale, x[:, -1] - centre
+                out = []
+                for k in inverses:
+                    lever = np.einsum("ij,jk,ik->i", z, k, z, optimize=True) + 1 / n
+                    out.append(float((((y - z @ (k @ right)) / (1 - np.minimum(lever, 1 - 1e-9))) ** 2).sum()))
+                yield pd.DataFrame([out], columns=[f"e{i}" for i in range(len(out))])
+
+        parts = rows.mapInPandas(errors, ", ".join(f"e{i} double" for i in range(len(self.alphas))))
+        scores = parts.agg(*[F.sum(c) for c in parts.columns]).first()
+        best = int(np.argmin(scores))
+        self.alpha, self.coef = self.alphas[best], inverses[best] @ right
         return self
 
     def fit_arrays(self, x: np.ndarray, y: np.ndarray) -> Ridge:
@@ -305,22 +335,20 @@ def permutation_importance(df: DataFrame, columns: list[str], label: str, predic
     """Mean and deviation of the loss in R2 when one raw column is shuffled.
 
     A column is shuffled by joining it back on the rank of a seeded hash; each
-    repeat takes another shift.
+    repeat takes another seed.  All rows count, and no task numbers them all.
     """
     from .. import storage
 
     spark = df.sparkSession
-    # test rows of a labelled sample, numbered in one task
-    rows = storage.table(df.limit(SAMPLE_ROWS).withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(*columns, F.lit(seed)))) - 1), "numbered")
-    n = rows.count()
+    hashed = lambda t, to, *of: dense_id(t.withColumn("_h", F.xxhash64(*of)), ["_h"], to).drop("_h")
+    rows = storage.table(hashed(df, "_at", *columns, F.lit(seed)), "numbered")
     base = metrics(predict(rows), label, "pred").first().r2 or 0.0
-    rng, out = np.random.default_rng(seed), []
-    for c in columns:
+    out = []
+    for k, c in enumerate(columns):
         loss = []
-        for _ in range(repeats):
-            order = spark.createDataFrame(pd.DataFrame({"_n": np.arange(n), "_m": rng.permutation(n)}))
-            moved = rows.select(F.col("_n").alias("_m"), F.col(c).alias("_moved"))
-            mixed = rows.join(order, "_n").join(moved, "_m").withColumn(c, F.col("_moved"))
+        for again in range(repeats):
+            moved = hashed(rows.select("_at", F.col(c).alias("_moved")), "_m", "_at", F.lit(seed + 1 + k * repeats + again))
+            mixed = rows.join(moved.select(F.col("_m").alias("_at"), "_moved"), "_at").withColumn(c, F.col("_moved"))
             loss.append(base - (metrics(predict(mixed), label, "pred").first().r2 or 0.0))
         out.append((c, float(np.mean(loss)), float(np.std(loss))))
     return spark.createDataFrame(out, "feature string, importance_mean double, importance_std double")

@@ -143,7 +143,7 @@ def regression_kriging(spark, d, predict):
 
 
 def _by_ridge(train, table):
-    return M.Ridge(NUMERIC).fit(train.orderBy("road_id"), "aadt_obs").transform(table).select("road_id", "pred")
+    return M.Ridge(NUMERIC).fit(train, "aadt_obs").transform(table).select("road_id", "pred")
 
 
 @query()

@@ -268,3 +268,20 @@ def test_support_vector_queries_take_every_labelled_row(spark, monkeypatch):
     assert fits == [train, train] and kriged == [train] * 3 and searched == [(n, M.SVR_GRID)]
     with pytest.raises(ValueError, match="at most"):
         M.SVR(["x"]).fit(spark.range(M.SAMPLE_ROWS + 1).selectExpr("double(id) as x", "double(id) as t"), "t")
+
+
+def test_ridge_and_permutation_take_more_rows_than_a_dense_solver(spark):
+    n = M.SAMPLE_ROWS + 1000
+    df = spark.range(n).selectExpr("id", "double(id % 17) as a", "double(id * 7 % 23) as b", f"id % 17 * if(id < {M.SAMPLE_ROWS}, 1.0D, 9.0D) + id % 5 as y").orderBy("id")
+    rows = df.toPandas()
+    whole = M.Ridge(["a", "b"]).fit_arrays(rows[["a", "b"]].to_numpy(float), rows.y.to_numpy(float))
+    ridge = M.Ridge(["a", "b"]).fit(df, "y")
+    assert ridge.alpha == whole.alpha and np.allclose(ridge.coef, whole.coef) and ridge.centre == pytest.approx(whole.centre)
+    counts = []
+
+    def predict(t):
+        counts.append((t.count(), t.agg(F.sum("a")).first()[0], t.agg(F.sum("b")).first()[0]))
+        return ridge.transform(t)
+
+    got = {r.feature: r.importance_mean for r in M.permutation_importance(df.drop("id"), ["a", "b"], "y", predict, repeats=1).collect()}
+    assert set(counts) == {(n, rows.a.sum(), rows.b.sum())} and got["a"] > 0.1 > abs(got["b"])
