@@ -8,8 +8,8 @@ fingerprint, the hash of all words of those windows (their context), document
 and position.
 
 The index is a list of immutable runs, each the entries of one batch, dealt
-out by fingerprint and document and sorted by fingerprint.  A new batch is written as a run and
-merge-joined with the runs before it:
+out by fingerprint and document and sorted by fingerprint.  A new batch is written as a run, united
+with the runs before it and grouped by fingerprint in a new shuffle; the runs' order is not used:
 
 1. Fingerprints of the batch that more than one document has are live; the
    other entries need no further work.
@@ -20,7 +20,7 @@ merge-joined with the runs before it:
    and the full hash of every window, with the fingerprint, decides.
 
 ``compact`` merges all runs into one; ``add`` does so when there are more than
-``MAX_RUNS``.  Runs lie in the shared folder.  No side of a join is broadcast
+``MAX_RUNS``, which the query's ``BATCHES`` do not reach.  Runs lie in the shared folder.  No side of a join is broadcast
 by this module, as all of them grow with the corpus.  Fingerprints are compared by
 Spark's aggregation and joins over all data, so the state of a task does not
 grow with a fingerprint's frequency.
