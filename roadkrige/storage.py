@@ -1,7 +1,8 @@
 """Tables that cut lineage, kept in the folder the cluster shares.
 
-``spark.checkpoint.dir`` names that folder.  Where it is unset (tests, a
-single machine) a folder below the system's temporary folder is used.
+``spark.checkpoint.dir`` names that folder.  Where it is unset and the master
+is local (tests, a single machine) a folder below the system's temporary folder
+is used; elsewhere that would not be shared, so it is an error.
 Written tables are removed when the session's Python process ends, or sooner
 through ``drop``; a lost executor never takes one with it.
 """
@@ -22,6 +23,8 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="roadkrige-"))
     return _LOCAL[0]
@@ -38,7 +41,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,10 +52,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Remove tables made by ``table`` that nothing reads any more."""
+    """Remove tables made by ``table`` that nothing reads any more; other data is never touched."""
     for df in tables:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            remove(df.sparkSession, file)
+        if path := getattr(df, "written_to", None):
+            remove(df.sparkSession, path)
+            _WRITTEN[:] = [w for w in _WRITTEN if w[1] != path]
 
 
 @atexit.register
