@@ -1,7 +1,8 @@
 """N-gram Jaccard join with PartEnum signatures.
 
-A document's set holds the hashes of its distinct k-word shingles; equal sets
-have equal keys, and from here on a key stands for all documents with its set.
+A document's set holds the 64-bit hashes of its distinct k-word shingles, made
+from 128 bits of each word; equal sets have equal 128-bit keys, and from here on
+a key stands for all documents with its set.
 
 Signatures.  Sizes are cut into bands that grow by 1 / similarity, so the sets
 of a link lie in one band or in two neighbouring ones.  Instance i serves the
@@ -26,22 +27,35 @@ loses no link: two linked sets that miss each other at one try both go on to
 the next.
 
 Candidates.  Signatures shuffle in buckets that a task can hold, packed to eight
-bytes each with a list of keys per bucket and block of texts; equal ones are
-found by sorting, and each key is paired with its leader, the smallest key of
-its signature.  All keys that share some signature under one leader form the
-leader's group, so each candidate pair lies in a group.  Verification.  The
-texts of one document per key are gathered by group and compared exactly, by
-counting shared shingles in an inverted list held by the task; only a spanning
-forest of the links leaves it.  A group of more than ``BLOCK_ROWS`` keys or
-``BLOCK_SHINGLES`` shingles is cut into blocks and each pair of blocks is a
-task of its own, so memory is bounded.  Components of the links and of equal
-sets give the result.
+bytes each with a list of short keys per bucket and block of texts; equal ones
+are found by sorting, and each key is paired with its leader, the smallest key
+of its signature.  All keys that share some signature under one leader form the
+leader's group, so each candidate pair lies in a group.
+
+Verification, in two rounds, so that the texts shipped grow with the number of
+keys and not with the squares of the groups:
+
+1. Each key goes to one group, that of its smallest leader.  A group is cut
+   into blocks of about ``BLOCK_ROWS`` keys or ``BLOCK_SHINGLES`` shingles; its
+   pivots, a block of the keys that share most signatures with others (in a
+   group of near copies the original among them), are compared with every other
+   block, so at most twice the group is shipped.  Components of the links found
+   are formed.
+2. Of each group whose keys are not all in one component by then, the keys
+   outside its largest component are compared with the whole group.  Pairs
+   inside one component need no comparison.
+
+A task holds two blocks.  It counts shared shingles in an inverted list; before
+a link counts, the words of the shared shingles are compared byte by byte.  Only
+a spanning forest of the links leaves the task.  Components of the links and of
+equal sets give the result.
 
 Defined cases: null, empty and white texts have no set and are linked with
 nothing; with fewer than k words the whole sequence is the one shingle; rows
 that repeat an id are nodes by text, and component_id is the smallest id of
-the component; a null id is never the smallest unless alone, then null; further
-columns are kept where rows are returned; an empty table gives an empty result.
+the component; a null id is never the smallest unless alone, then null; a text
+of any length is compared whole; further columns are kept where rows are
+returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,20 +67,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import scratch
 from .components import connected_components
-from .text import Words, blocks, column_bytes, mix, ragged, run_hashes, small_batches
+from .text import LOWER, Words, blocks, column_bytes, mix, ragged, run_hashes
 
 N2 = 3
 FREE = 1
 TRIES = 6
-BLOCK_ROWS = 512
+BLOCK_ROWS = 128
 BLOCK_SHINGLES = 2_000_000
 KEY_BYTES = 32
-MEMBER_BYTES = 64
+MEMBER_BYTES = 96
 BROADCAST_LIMIT = 64 << 20
 PACK_SIGNATURES = 1_000_000
 PACK_KEYS = 60_000
@@ -74,29 +90,59 @@ BUCKET_SHINGLES = 4_000_000
 SEEN = 500_000  # keys a task remembers so as not to repeat their signatures
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+class Shingles:
+    """The set of one text: sorted distinct hashes, the first word of each, and the words."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray, k: int, words: pa.Array):
+        self.values, self.at, self.k, self.words = values, at, k, words
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    @property
+    def key(self) -> bytes | None:
+        """A 128-bit key of the set, null for an empty one."""
+        return xxhash.xxh3_128_digest(self.values.tobytes()) if len(self.values) else None
+
+    def common(self, other: Shingles) -> int:
+        """How many shingles are shared, by their words."""
+        if self.k != other.k:
+            return 0
+        _, a, b = np.intersect1d(self.values, other.values, assume_unique=True, return_indices=True)
+        word = pa.concat_arrays([self.words, other.words]).dictionary_encode().indices.to_numpy()
+        a, b = self.at[a], other.at[b] + len(self.words)
+        same = np.ones(len(a), dtype=bool)
+        for i in range(self.k):
+            same &= word[a + i] == word[b + i]
+        return int(same.sum())
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, exact: bool = False) -> list[Shingles]:
+    """The shingles of each text, with its words where ``exact``."""
     words = Words(data, offsets)
     hashes = words.hashes(lower=True)
-    runs = run_hashes(hashes, k)
+    column = words.column(LOWER[data]) if exact else pa.array([], pa.large_binary())
+    runs = shingle_hash(run_hashes(hashes, k))
     out = []
     for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        if b - a >= k:
-            out.append(np.unique(runs[a : b - k + 1]))
-        elif b > a:
-            out.append(run_hashes(hashes[a:b], b - a, seed=b - a))
+        size = min(k, b - a)
+        if size == k:
+            values, at = np.unique(runs[a : b - k + 1], return_index=True)
+        elif size:
+            values, at = shingle_hash(run_hashes(hashes[:, a:b], size)) + np.uint64(size), np.zeros(1, np.int64)
         else:
-            out.append(hashes[:0])
+            values, at = runs[:0], np.zeros(0, np.int64)
+        out.append(Shingles(values, at, size, column.slice(a, b - a)))
     return out
 
 
-def set_key(values: np.ndarray) -> int | None:
-    """A 63-bit key of a set of hashes."""
-    if not len(values):
-        return None
-    with np.errstate(over="ignore"):
-        once, twice = mix(values).sum(), mix(values ^ np.uint64(0x5851F42D4C957F2D)).sum()
-        return int(mix(np.array([once ^ (twice * np.uint64(0x2545F4914F6CDD1D)) ^ np.uint64(len(values))], dtype=np.uint64))[0] >> np.uint64(1))
+def shingle_hash(halves: np.ndarray) -> np.ndarray:
+    return halves[0] ^ mix(halves[1])
+
+
+def short_key(key: bytes) -> int:
+    """63 bits of a key, for candidates only."""
+    return int.from_bytes(key[:8], "little") >> 1
 
 
 CHOICES = np.array(list(combinations(range(N2), N2 - FREE)))
@@ -168,17 +214,21 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def set_table(docs: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, text_key, n_shingles and the set's key (null for an empty set)."""
+    """doc_id, text_key, n_shingles, the set's key (null for an empty set) and its short key."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, data, offsets in _texts(batch.column(2)) for s in shingle_sets(data, offsets, k)]
-            sizes, keys = pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, keys], names=["doc_id", "text_key", "n_shingles", "key"])
+            sizes, keys = [], []
+            for _, data, offsets in _texts(batch.column(2)):
+                for s in shingle_sets(data, offsets, k):
+                    sizes.append(len(s))
+                    keys.append(s.key)
+            short = pa.array([None if x is None else short_key(x) for x in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), short], names=["doc_id", "text_key", "n_shingles", "key", "short"])
 
     named = docs.select(doc_id, F.xxhash64(text).alias("text_key"), text)
-    return named.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, key long")
+    return named.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, key binary, short long")
 
 
 class Seen:
@@ -231,10 +281,10 @@ def signature_rows(docs: DataFrame, k: int, similarity: Fraction, text: str, n_b
 
         for batch in batches:
             for _, data, offsets in _texts(batch.column(0)):
-                for values in shingle_sets(data, offsets, k):
-                    if (key := set_key(values)) is not None and seen.new(key):
+                for s in shingle_sets(data, offsets, k):
+                    if len(s) and seen.new(key := short_key(s.key)):
                         keys.append(key)
-                        marks.append(signatures(values, bands))
+                        marks.append(signatures(s.values, bands))
                         held += len(marks[-1])
                         if held >= PACK_SIGNATURES or len(keys) >= PACK_KEYS:
                             yield flush()
@@ -245,7 +295,7 @@ def signature_rows(docs: DataFrame, k: int, similarity: Fraction, text: str, n_b
 
 
 def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b): each key with the smallest key that shares a signature with it."""
+    """(a, b, weight): each key b with the smallest key a of a signature, and how many others share those signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack_signatures(x) for batch in batches for x in batch.column(1).to_pylist()]
@@ -262,24 +312,21 @@ def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
         mark, key = mark[order], key[order]
         if len(mark):
             begins = np.append(True, mark[1:] != mark[:-1])
-            first = key[begins][np.cumsum(begins) - 1]
-            pairs = np.unique(np.stack((first, key))[:, first != key], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            group = np.cumsum(begins) - 1
+            names, dense = np.unique(key, return_inverse=True)
+            edge, place = np.unique(dense[begins][group] * len(names) + dense, return_inverse=True)
+            weight = np.bincount(place, weights=np.bincount(group)[group] - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[edge // len(names)]), pa.array(names[edge % len(names)]), pa.array(weight)], names=["a", "b", "weight"])
 
-    return rows.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "a long, b long")
+    return rows.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "a long, b long, weight long")
 
 
-def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets (of different sides only, if given)."""
+def linked(sets: list[Shingles], similarity: Fraction, pivot: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets, of pairs with a pivot only."""
     n, sizes = len(sets), np.array([len(s) for s in sets])
     num, den = similarity.numerator, similarity.denominator
-    if n == 2:
-        if sizes.min() * den < num * sizes.max() or (side is not None and side[0] == side[1]):
-            return []
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if common * den >= num * (sizes.sum() - common) else []
     owner = np.repeat(np.arange(n), sizes)
-    _, feature, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, feature, often = np.unique(np.concatenate([s.values for s in sets]), return_inverse=True, return_counts=True)
     shared = often[feature] > 1
     owner, feature = owner[shared], feature[shared]
     order = np.argsort(feature, kind="stable")
@@ -295,86 +342,154 @@ def linked(sets: list[np.ndarray], similarity: Fraction, side: np.ndarray | None
         return i
 
     forest = []
-    for i in range(n):
+    for i in np.flatnonzero(pivot).tolist():
         own = feature[at[i] : at[i + 1]]
         if len(own) * den < num * sizes[i]:  # too many shingles that no other set has
             continue
         lists = posting[ragged(start[own], start[own + 1] - start[own])]
         common = np.bincount(lists, minlength=n)
-        common[: i + 1] = 0
+        common[i] = 0
         near = (common > 0) & (common * den >= num * (sizes[i] + sizes - common))
-        if side is not None:
-            near &= side != side[i]
         for j in np.flatnonzero(near).tolist():
             if (a := find(i)) != (b := find(j)):
-                root[b] = a
-                forest.append((i, j))
+                both = sets[i].common(sets[j])
+                if both * den >= num * (sizes[i] + sizes[j] - both):
+                    root[b] = a
+                    forest.append((i, j))
     return forest
 
 
 def verified_links(members: DataFrame, k: int, similarity: Fraction) -> DataFrame:
-    """``members``: leader, i, j, block, text.  Links between keys, a forest for each (leader, i, j)."""
+    """``members``: leader, i, j, pivot, key, text.  Links between keys, a forest for each (leader, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
 
-        def links() -> list[tuple[int, int]]:
+        def links() -> list[tuple[bytes, bytes]]:
             if len(held) < 2:
                 return []
             keys, found = list(held), list(held.values())
-            side = np.array([b for b, _ in found]) if group[1] != group[2] else None
-            return [(keys[a], keys[b]) for a, b in linked([s for _, s in found], similarity, side)]
+            return [(keys[a], keys[b]) for a, b in linked([s for _, s in found], similarity, np.array([p for p, _ in found]))]
 
         for batch in batches:
             out = []
-            names = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
-            for first, data, offsets in _texts(batch.column(4)):
-                for (name, i, j, block), values in zip(names[first:], shingle_sets(data, offsets, k), strict=False):
-                    if (name, i, j) != group:
+            names = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
+            for first, data, offsets in _texts(batch.column(5)):
+                for (leader, i, j, pivot, key), found in zip(names[first:], shingle_sets(data, offsets, k, exact=True), strict=False):
+                    if (leader, i, j) != group:
                         out += links()
-                        group, held = (name, i, j), {}
-                    held[set_key(values)] = (block, values)
+                        group, held = (leader, i, j), {}
+                    held[key] = (pivot or (key in held and held[key][0]), found)
             yield _pairs(out)
         yield _pairs(links())
 
     parts = members.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    return parts.select("leader", "i", "j", "block", "text").mapInArrow(run, "a long, b long")
+    return parts.select("leader", "i", "j", "pivot", "key", "text").mapInArrow(run, "a binary, b binary")
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    columns = [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
+def _pairs(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)]
     return pa.RecordBatch.from_arrays(columns, names=["a", "b"])
 
 
+def block_count(rows, shingles) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def block_of(n: str, seed: int) -> F.Column:
+    return F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
+
+
+def with_texts(placed: DataFrame, rows: int, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``placed`` (leader, key, one and an array of tasks (i, j, pivot)) with the texts, a row for each task."""
+    placed = placed.select("leader", "key", "tasks", F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text_key"))
+    if rows * MEMBER_BYTES <= BROADCAST_LIMIT:
+        placed = F.broadcast(placed)
+    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_own"))
+    texts = own.join(placed, (F.col("_own") == F.col("_text_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    return texts.select("leader", "key", "text", F.explode("tasks").alias("_t")).select("leader", "_t.i", "_t.j", "_t.pivot", "key", "text")
+
+
+def task(i, j, pivot) -> F.Column:
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), pivot.alias("pivot"))
+
+
+def up_to(n: str) -> F.Column:
+    return F.sequence(F.lit(0), F.col(n) - 1)
+
+
+def first_round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each key in the group of its smallest leader: (leader, key, one, n, ...) and the placed rows."""
+    least = members.groupBy("key").agg(F.min("leader").alias("leader"), *[F.first(c).alias(c) for c in ("one", "size", "weight")])
+    least = scratch.table(least, "homes")
+    groups = least.groupBy(F.col("leader").alias("_leader")).agg(block_count(F.count(F.lit(1)), F.sum("size")).alias("n"), F.count(F.lit(1)).alias("_rows"))
+    rows = scratch.table(least.join(groups, F.col("leader") == F.col("_leader")).drop("_leader"), "homes")
+    # the window keeps at most BLOCK_ROWS rows of a group in each task before it shuffles
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy(F.col("weight").desc(), "key"))
+    pivots = rows.filter("n > 1").select("leader", "weight", "key", F.ceil(F.col("_rows") / F.col("n")).alias("most"), rank.alias("rank"))
+    pivots = pivots.filter((F.col("rank") <= BLOCK_ROWS) & (F.col("rank") <= F.col("most"))).select(F.col("key").alias("_pivot"))
+    own = F.when(F.col("_pivot").isNotNull() | (F.col("n") == 1), 0).otherwise(F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1), F.col("n") - 1)) + 1)
+    placed = scratch.table(rows.join(pivots, F.col("key") == F.col("_pivot"), "left").withColumn("own", own.cast("int")).drop("_pivot"), "placed")
+    scratch.drop(least, rows)
+    others = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), lambda x: task(x, F.lit(0), F.lit(True)))
+    alone = F.array(task(F.col("own"), F.lit(0), F.lit(True)))
+    return placed, placed.filter("_rows > 1").withColumn("tasks", F.when((F.col("own") == 0) & (F.col("n") > 1), others).otherwise(alone))
+
+
+def second_round(members: DataFrame, homes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows and the placed rows of the groups whose keys are in several components, but for groups that the first round did whole."""
+    known = members.join(roots, F.col("key") == F.col("node"), "left").select("leader", "key", "one", "size", F.coalesce("root", "key").alias("root"))
+    home = homes.select(F.col("key").alias("_key"), F.col("leader").alias("home"), F.col("n").alias("home_n"))
+    known = scratch.table(known.join(home, F.col("key") == F.col("_key")).drop("_key"), "known")
+    some = known.groupBy("leader", "root").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("home").alias("_from"), F.max("home").alias("_to"), F.max("home_n").alias("_n")
+    )
+    n, shingles = F.sum("n"), F.sum("shingles")
+    largest = F.max(F.struct("n", "shingles", "root"))
+    groups = some.groupBy(F.col("leader").alias("_leader")).agg(
+        F.count(F.lit(1)).alias("_roots"),
+        largest["root"].alias("_major"),
+        block_count(n, shingles).alias("n"),
+        block_count(n - largest["n"], shingles - largest["shingles"]).alias("q"),
+        ((F.min("_from") == F.max("_to")) & (F.max("_n") == 1)).alias("_done"),
+    )
+    groups = groups.filter("_roots > 1 and not _done")
+    rows = known.join(groups, F.col("leader") == F.col("_leader")).select("leader", "key", "one", "n", "q", block_of("n", 1).alias("own"), block_of("q", 2).alias("minor"), (F.col("root") != F.col("_major")).alias("apart"))
+    rows = scratch.table(rows, "open")
+    scratch.drop(known)
+    with_minor = F.transform(up_to("q"), lambda j: task(F.col("own"), j, F.col("apart") & (j == F.col("minor"))))
+    with_all = F.transform(up_to("n"), lambda i: task(i, F.col("minor"), F.lit(True)))
+    return rows, rows.withColumn("tasks", F.when(F.col("apart"), F.array_distinct(F.concat(with_minor, with_all))).otherwise(with_minor))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    small_batches(docs.sparkSession)
     sets = scratch.table(set_table(docs, k, text, doc_id), "sets")
     # buckets of signatures that a task can hold, as the shingles tell
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES + 1)
     rows = signature_rows(docs, k, similarity, text, n_buckets)
-    edges = scratch.table(candidate_edges(rows, n_buckets).distinct(), "candidates")
+    edges = scratch.table(candidate_edges(rows, n_buckets).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "candidates")
     # one document for each key
-    keys = sets.filter("key is not null").groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("size"))
-    keys = keys.join(edges.select(F.explode(F.array("a", "b")).alias("_node")).distinct(), F.col("_key") == F.col("_node"), "left_semi")
-    keys = scratch.table(keys, "keys")
-    members = edges.unionByName(edges.select("a", F.col("a").alias("b")).distinct())
-    members = scratch.table(members.join(keys, F.col("b") == F.col("_key")).select(F.col("a").alias("leader"), "one", "size"), "members")
-    count = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
-    groups = scratch.table(members.groupBy(F.col("leader").alias("_leader")).agg(count.cast("int").alias("n")), "groups")
-    placed = members.join(groups, F.col("leader") == F.col("_leader")).select(
-        "leader", "n", F.pmod(F.xxhash64("one"), F.col("n")).cast("int").alias("block"), F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text_key")
-    )
-    if members.count() * MEMBER_BYTES <= BROADCAST_LIMIT:
-        placed = F.broadcast(placed)
-    own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_own"))
-    texts = own.join(placed, (F.col("_own") == F.col("_text_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    with_other = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    members = with_other.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "text")
-    roots = connected_components(verified_links(members, k, similarity))
+    keys = sets.filter("key is not null").groupBy("key", "short").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("size"))
+    weights = edges.groupBy(F.col("b").alias("_node")).agg(F.sum("weight").alias("weight"))
+    keys = scratch.table(keys.join(weights, F.col("short") == F.col("_node")).drop("_node"), "keys")
+    members = edges.select("a", "b").join(keys, F.col("b") == F.col("short"))
+    members = scratch.table(members.select(F.col("a").alias("leader"), "key", "one", "size", "weight"), "members")
+    scratch.drop(edges, keys)
+    homes, placed = first_round(members)
+    links = scratch.table(verified_links(with_texts(placed, homes.count(), docs, text, doc_id), k, similarity), "links")
+    roots = connected_components(links)
+    open_, placed = second_round(members, homes, roots)
+    if n_open := open_.count():
+        more = scratch.table(verified_links(with_texts(placed, n_open, docs, text, doc_id), k, similarity), "links")
+        scratch.drop(roots)
+        roots = connected_components(links.unionByName(more))
+        scratch.drop(more)
+    scratch.drop(members, homes, links, open_)
     named = sets.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("component"))
     named = scratch.table(named, "named")
+    scratch.drop(sets, roots)
     some = named.filter("component is not null")
     least = scratch.table(some.groupBy(F.col("component").alias("_c")).agg(F.min("doc_id").alias("component_id")), "least")
     found = some.join(least, F.col("component") == F.col("_c")).select("doc_id", "n_shingles", "component_id")

@@ -1,7 +1,8 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-Texts are tokenised by distinct word (white space ends every pre-token of the
-tokenizer, so words are independent), an end id is added, and whole sequences
+Texts are tokenised by distinct word, told apart by its bytes (white space ends
+every pre-token of the tokenizer, so words are independent), an end id is
+added, and whole sequences
 of ``capacity`` ids are cut off from the front of each document.  The rest is
 cut into pieces of at most ``PIECE`` ids, as differencing balances badly with
 two or three pieces a window.  The pieces of a group of about ``GROUP`` are
@@ -16,7 +17,8 @@ Groups are formed from the rows of a task as they come, so nothing shuffles;
 sequence ids hold the task's partition number.  A rerun over the same input
 files gives the same packing.
 
-Defined cases: a null text is empty and has the end id alone; null or repeated
+Defined cases: a null text is empty and has the end id alone; a text of any
+length is tokenised whole, alone in its block if it is longer than one; null or repeated
 ids are documents of their own; further columns are ignored; an empty table
 gives none.
 """
@@ -35,14 +37,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import Words, blocks, column_bytes, ragged, small_batches
+from .text import LOWER, Known, Words, blocks, column_bytes, ragged
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 CAPACITY = 4096
 PIECE = 512
 GROUP = 2048
-CACHE = 1_000_000
+CACHE = 1_000_000  # words kept by a worker, those of at most CACHED_BYTES bytes
+CACHED_BYTES = 64
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -122,8 +125,8 @@ def letter_cuts(data: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Ids of texts, made of the ids of their distinct words (in lower case, cut at punctuation).
 
-    The ids of words met before are kept, up to ``CACHE`` words, in arrays:
-    ``keys`` are sorted word hashes, word i has ids flat[begin[i]:][:size[i]].
+    The ids of words met before are kept, up to ``CACHE`` words; word i has
+    ids flat[begin[i]:][:size[i]].
     """
 
     def __init__(self, model: str):
@@ -133,35 +136,45 @@ class Tokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.known, self.flat = Known(), np.zeros(0, np.uint32)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(size.sum()))
-        at = np.searchsorted(self.keys, keys)
-        self.begin = np.insert(self.begin, at, len(self.flat) + np.cumsum(size) - size)
-        self.size, self.keys = np.insert(self.size, at, size), np.insert(self.keys, at, keys)
-        self.flat = np.concatenate((self.flat, flat))
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of the distinct words' ids begin and how many they are, in the third array."""
+        key = Known.key(words)
+        slot = self.known.find(words, key)
+        begin, size = np.append(self.begin, 0)[slot], np.append(self.size, 0)[slot]
+        new, flat = np.flatnonzero(slot < 0), self.flat
+        if len(new):
+            unknown = words.take(pa.array(new))
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in unknown.to_pylist()], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+            fresh = np.fromiter(chain.from_iterable(coded), dtype=np.uint32, count=int(sizes.sum()))
+            begin[new], size[new] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate((flat, fresh))
+            if len(self.known) + len(new) > CACHE:
+                self.clear()
+            short = np.flatnonzero(np.diff(column_bytes(unknown)[1]) <= CACHED_BYTES)[:CACHE]
+            added = short[self.known.add(unknown.take(pa.array(short)), key[new[short]])]
+            kept = fresh[ragged((np.cumsum(sizes) - sizes)[added], sizes[added])]
+            self.begin = np.append(self.begin, len(self.flat) + np.cumsum(sizes[added]) - sizes[added])
+            self.size, self.flat = np.append(self.size, sizes[added]), np.concatenate((self.flat, kept))
+        return begin, size, flat
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts and the n + 1 offsets of the texts in them."""
         words = Words(data, offsets, letter_cuts(data))
-        hashes = words.hashes(lower=True)
+        lower = LOWER[data]
         bars = np.concatenate(([0], np.cumsum(data == 0x7C)))
         if bars[-1]:  # the special tokens have bars, and their case counts
-            hashes = np.where(bars[words.ends] > bars[words.starts], ~words.hashes(), hashes)
-        distinct, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHE:
-            self.clear()
-        new = np.flatnonzero(~np.isin(distinct, self.keys, assume_unique=True))
-        if len(new):
-            raw, starts, ends = data.tobytes(), words.starts[first[new]].tolist(), words.ends[first[new]].tolist()
-            self.learn(distinct[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)])
-        at = np.searchsorted(self.keys, distinct)[place]
-        size = self.size[at]
-        return self.flat[ragged(self.begin[at], size)], np.concatenate(([0], np.cumsum(size)))[words.first]
+            barred = np.flatnonzero(bars[words.ends] > bars[words.starts])
+            at = ragged(words.starts[barred], words.ends[barred] - words.starts[barred])
+            lower[at] = data[at]
+        coded = words.column(lower).dictionary_encode()
+        place = coded.indices.to_numpy()
+        begin, size, flat = self.words(coded.dictionary)
+        size = size[place]
+        return flat[ragged(begin[place], size)], np.concatenate(([0], np.cumsum(size)))[words.first]
 
 
 @cache
@@ -175,7 +188,6 @@ def pack_documents(
     docs: DataFrame, model: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, piece_size: int = PIECE
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
-    small_batches(docs.sparkSession)
     if model is None:
         from .tokens import default_model
 

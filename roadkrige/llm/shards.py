@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import scratch
-from .text import small_batches
 
 N_SHARDS = 40
 SEED = 17
@@ -66,7 +65,6 @@ def shuffle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def shuffle(docs: DataFrame, n_shards: int = N_SHARDS, bucket_bytes: int = BUCKET_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in columns of a struct ``record``, with ``shard`` and ``slot``."""
-    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(record_size(F.col(text)))).first()[0] or 0
     n_buckets = max(1, math.ceil(total / bucket_bytes))
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("_row"))

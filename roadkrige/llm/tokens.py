@@ -3,12 +3,13 @@
 The vocabulary has no piece with a space mark after another character, so no
 merge crosses the place where a space follows a non-space.  A text, with one
 space put before it, is cut there into pre-tokens.  In each block of texts the
-distinct pre-tokens are found by hash, each is counted by the tokenizer once
-(a bounded cache keeps counts between blocks), and the counts are joined to
-the pre-tokens' occurrences and summed per document.  No ids of a document are
-ever built, and no row leaves its task.
+distinct pre-tokens are found by their bytes, each is counted by the tokenizer
+once (a bounded cache keeps counts between blocks), and the counts are joined
+to the pre-tokens' occurrences and summed per document.  No ids of a document
+are ever built, and no row leaves its task.
 
-Defined cases: a null text is empty and has 0 tokens; null or repeated ids
+Defined cases: a null text is empty and has 0 tokens; a text of any length is
+read whole, alone in its block if it is longer than one; null or repeated ids
 give a row each; further columns are ignored; an empty table gives none.
 """
 
@@ -21,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .text import blocks, column_bytes, small_batches, span_hashes
+from .text import Known, blocks, column_bytes, spans
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4096
-CACHE = 2_000_000
+CACHE = 1_000_000  # pre-tokens kept by a worker, those of at most CACHED_BYTES bytes
+CACHED_BYTES = 64
 
 
 def default_model(name: str = VOCABULARY) -> str:
@@ -34,8 +36,8 @@ def default_model(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the pre-tokens, each without its first space, and their texts."""
+def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens, each without its first space, and their texts."""
     n = len(data)
     space = data == 0x20
     mark = np.zeros(n, dtype=bool)  # last byte of the space mark itself, U+2581
@@ -45,15 +47,13 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = space & ~after_space
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
     cut[heads] = False
-    inner = np.flatnonzero(cut)
-    at = np.concatenate((heads, inner))
-    order = np.argsort(at, kind="stable")
-    at, skip = at[order], np.concatenate((np.zeros(len(heads), np.int64), np.ones(len(inner), np.int64)))[order]
-    return at + skip, np.append(at[1:], n), np.searchsorted(offsets, at, side="right") - 1
+    at = np.sort(np.concatenate((heads, np.flatnonzero(cut))), kind="stable")
+    sizes = np.diff(np.append(at, n)) - cut[at]
+    return spans(data[~cut], sizes), np.searchsorted(offsets, at, side="right") - 1
 
 
 class Counter:
-    """Counts of pieces by pre-token hash, kept up to ``CACHE`` pre-tokens in sorted arrays."""
+    """Counts of pieces by pre-token, of which up to ``CACHE`` are kept."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -62,25 +62,32 @@ class Counter:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        # an empty one is the single space at the end of a text: one piece
-        pieces = np.array([len(ids) or 1 for ids in self.tokenizer.encode(texts, num_threads=1)], dtype=np.int64)
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.pieces = np.insert(self.keys, at, keys), np.insert(self.pieces, at, pieces)
+        self.known, self.kept = Known(), np.zeros(0, np.int64)
+
+    def pieces(self, tokens: pa.Array) -> np.ndarray:
+        """How many pieces each of the distinct pre-tokens has."""
+        key = Known.key(tokens)
+        slot = self.known.find(tokens, key)
+        out = np.append(self.kept, 0)[slot]
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            unknown = tokens.take(pa.array(new))
+            texts = [t.decode("utf-8", "replace") for t in unknown.to_pylist()]
+            # an empty one is the single space at the end of a text: one piece
+            counts = np.array([len(ids) or 1 for ids in self.tokenizer.encode(texts, num_threads=1)], dtype=np.int64)
+            out[new] = counts
+            if len(self.known) + len(new) > CACHE:
+                self.clear()
+            short = np.flatnonzero(np.diff(column_bytes(unknown)[1]) <= CACHED_BYTES)[:CACHE]
+            added = short[self.known.add(unknown.take(pa.array(short)), key[new[short]])]
+            self.kept = np.append(self.kept, counts[added])
+        return out
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        starts, ends, row = pre_tokens(data, offsets)
-        distinct, first, place = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHE:
-            self.clear()
-        new = np.flatnonzero(~np.isin(distinct, self.keys, assume_unique=True))
-        if len(new):
-            raw, a, b = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
-            self.learn(distinct[new], [raw[x:y].decode("utf-8", "replace") for x, y in zip(a, b, strict=True)])
-        per = self.pieces[np.searchsorted(self.keys, distinct)]
-        return np.bincount(row, weights=per[place], minlength=len(offsets) - 1).astype(np.int64)
+        column, row = pre_tokens(data, offsets)
+        coded = column.dictionary_encode()
+        per = self.pieces(coded.dictionary)[coded.indices.to_numpy()]
+        return np.bincount(row, weights=per, minlength=len(offsets) - 1).astype(np.int64)
 
 
 @cache
@@ -91,7 +98,6 @@ def counter_of(model: str) -> Counter:
 
 def count_tokens(docs: DataFrame, model: str | None = None, limit: int = LIMIT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row."""
-    small_batches(docs.sparkSession)
     model = model or default_model()
     kind = docs.schema[doc_id].dataType.simpleString()
 

@@ -4,10 +4,11 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("roadkrige.llm")
-from roadkrige.llm import components, jaccard  # noqa: E402
+from roadkrige.llm import components, jaccard, scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +137,53 @@ def test_components(spark, shape):
     for a in seen:
         for b in list(seen)[:60]:
             assert (got[a] == got[b]) == (find(a) == find(b))
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words and their complements, as whole documents and inside shingles."""
+    rows = []
+    for n in (1024, 2048):
+        for i, letters in enumerate(("ab", "ba")):
+            rows += [(n + i, f"one two {thue_morse(n, letters)} four"), (n + 10 + i, thue_morse(n, letters)), (n + 20 + i, " ".join(thue_morse(n, letters)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(df, 4, Fraction(85, 100)).collect()), key=str) == brute(rows, 4, 0.85)
+
+
+def test_shared_shingles_are_compared_by_their_words():
+    """Sets whose hashes collide are not linked."""
+    words = pa.array([f"w{i}".encode() for i in range(30)], pa.large_binary())
+    other = pa.array([f"v{i}".encode() for i in range(30)], pa.large_binary())
+    values, at = np.arange(1, 28, dtype=np.uint64), np.arange(27)
+    a, b, c = (jaccard.Shingles(values, at, 4, w) for w in (words, other, words))
+    assert jaccard.linked([a, b, c], Fraction(85, 100), np.ones(3, bool)) == [(0, 2)]
+
+
+def hot_group(n, size=200, edits=3):
+    rng = np.random.default_rng(7)
+    base = [f"v{x}" for x in rng.integers(0, 10**6, size)]
+    return [(i, " ".join(noisy(rng, base, edits if i else 0))) for i in range(n)]
+
+
+def test_hot_group_ships_texts_in_proportion(spark, monkeypatch):
+    """Rows of text to verify grow with the group, not with its square."""
+    shipped = []
+    real = jaccard.verified_links
+
+    def counted(members, k, similarity):
+        members = scratch.table(members, "test")
+        shipped.append(members.count())
+        return real(members, k, similarity)
+
+    monkeypatch.setattr(jaccard, "verified_links", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 32)
+    rows = {}
+    for n in (300, 1200):
+        shipped.clear()
+        df = spark.createDataFrame(hot_group(n), "doc_id long, text string")
+        assert {r.component_id for r in jaccard.near_duplicates(df, 5, Fraction(4, 5)).collect()} == {0}
+        rows[n] = sum(shipped)
+    assert rows[1200] < 6 * rows[300] and rows[1200] < 5 * 1200, rows

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("roadkrige.llm")
-from roadkrige.llm import exact, mixing, packing, shards, tokens  # noqa: E402
+from roadkrige.llm import exact, mixing, packing, shards, text, tokens  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, copies string"
@@ -150,6 +151,48 @@ def test_tokens(odd, docs):
         assert Counter(map(tuple, tokens.count_tokens(df).collect())) == want
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    import sentencepiece
+    import tokenizers
+
+    rows = [(n + i, f"{n} {thue_morse(n, x)} b") for n in (32, 64, 1024, 2048) for i, x in enumerate(("ab", "ba"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokens.default_model())
+    assert {r.doc_id: r.n_tokens for r in tokens.count_tokens(df).collect()} == {i: len(sp.encode(t)) for i, t in rows}
+    tok = tokenizers.Tokenizer.from_file(tokens.default_model(packing.VOCABULARY))
+    got = {i: [] for i, _ in rows}
+    for r in sorted(packing.pack_documents(df, with_ids=True).collect(), key=lambda r: r.start):
+        got[r.doc_id] += r.ids
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+
+
+def test_known_strings_with_equal_keys():
+    """A hit is compared by its bytes; of strings with equal keys one is kept."""
+    known, words = text.Known(), pa.array([b"a", b"b", b"c"], pa.large_binary())
+    assert known.add(words, np.array([7, 7, 9], np.uint64)).tolist() == [0, 2]
+    assert known.find(words, np.array([7, 7, 9], np.uint64)).tolist() == [0, -1, 1]
+    assert known.add(words.slice(1, 1), np.array([7], np.uint64)).tolist() == [] and len(known) == 2
+
+
+def test_full_caches_change_nothing(monkeypatch, docs):
+    rows = [r.text or "" for r in docs.select("text").collect()][:60]
+    at = np.concatenate(([0], np.cumsum([len(t.encode()) for t in rows])))
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    models = tokens.default_model(), tokens.default_model(packing.VOCABULARY)
+    runs = []
+    for size in (10**6, 40):
+        monkeypatch.setattr(tokens, "CACHE", size)
+        monkeypatch.setattr(packing, "CACHE", size)
+        counter, tokenizer = tokens.Counter(models[0]), packing.Tokenizer(models[1])
+        parts = [(data[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in text.blocks(at, 3000)]
+        runs.append([*(counter.count(*p).tolist() for p in parts), *(x.tolist() for p in parts for x in tokenizer.ids(*p))])
+    assert runs[0] == runs[1]
+
+
 @pytest.mark.parametrize("text", ["  a", "a  ", "▁", "▁▁ a", "a ▁ b", " ▁a", "a▁", "\x00 \x00", "a  \n  b", "日本 語  x", "😀 <s> </s>", " "])
 def test_token_edges(text):
     import sentencepiece

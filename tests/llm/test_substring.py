@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("roadkrige.llm")
 from roadkrige.llm import substring  # noqa: E402
@@ -34,8 +35,6 @@ def brute(rows):
 
 
 def digests(df):
-    from pyspark.sql import functions as F
-
     return Counter(map(tuple, df.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()))
 
 
@@ -57,7 +56,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("batches,max_runs", [(1, 4), (2, 4), (5, 2)])
+@pytest.mark.parametrize("batches,max_runs", [(1, 4), (4, 1), (5, 2)])
 def test_planted(spark, planted, batches, max_runs):
     df = spark.createDataFrame(planted, "doc_id long, text string").selectExpr("doc_id", "text", "1 as first", "2 as text_key")
     assert digests(substring.deduplicate(df, batches=batches, max_runs=max_runs)) == brute(planted)
@@ -73,14 +72,54 @@ def test_empty_table(spark):
     assert substring.deduplicate(df).count() == 0
 
 
-def test_runs_are_sorted_and_compacted(spark, planted):
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    rows = []
+    for n in (1024, 2048):
+        for i, letters in enumerate(("ab", "ba")):
+            rows.append((n + i, " ".join([*map(str, range(n, n + 30)), thue_morse(n, letters), *map(str, range(30))])))
+    rows += [(i, thue_morse(128, letters).replace("a", "a ").replace("b", "b ")) for i, letters in enumerate(("ab", "ba"))]
+    assert digests(substring.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_ids_of_any_type(spark, planted):
+    rows = [(None if d is None else f"id{d:05d}", t) for d, t in planted]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert digests(substring.deduplicate(df, batches=3)) == brute(rows)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_index_opens_again_and_its_runs_never_shuffle(spark, planted, tmp_path):
+    """Batches added by separate openings; more runs do not add exchanges, neither to a batch nor to compaction."""
     own = substring.identified(spark.createDataFrame(planted, "doc_id long, text string"), "text", "doc_id")
-    index = substring.FingerprintIndex(spark, max_runs=2)
-    for i in range(3):
-        index.add(own.filter(f"doc_id % 3 = {i}"), own.filter(f"doc_id % 3 <= {i}"))
-    assert len(index.runs) == 1
-    prints = [r[0] for r in index.runs[0].coalesce(1).select("print").collect()]
-    assert len(prints) == substring.entries(own.filter("doc_id is not null")).count()
+    cuts = [None, 20, 45, 60, 80, None]
+    found, plans = None, []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index", max_runs=9)
+        so_far = own if high is None else own.filter(f"doc_id <= {high}")
+        batch = so_far if low is None else so_far.filter(f"doc_id > {low}")
+        fresh = substring.entries(batch).groupBy("print").agg(*[F.first(c).alias(c) for c in substring.PRINT_COLUMNS[:-1]]).withColumn("several", F.lit(True))
+        plans.append(exchanges(index._with_history(fresh, index.prints, substring.PRINT_KEY, substring.PRINT_COLUMNS)))
+        part = index.add(batch, so_far)
+        found = part if found is None else found.unionByName(part)
+        assert len(index.prints) == len(plans)
+        index.close()
+    assert digests(substring.removal(own, found)) == brute(planted)
+    assert set(plans) == {1}
+    index = substring.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    merges = [exchanges(index.merged(index.prints[:i], substring.PRINT_KEY, substring.PRINT_COLUMNS)) for i in (2, 5)]
+    assert merges[0] == merges[1] <= 1
+    index.compact()
+    assert len(index.prints) == len(index.windows) == 1
+    rows = index.prints[0].rows()
+    assert rows.count() == rows.select("print").distinct().count() == substring.entries(own.filter("doc_id is not null")).select("print").distinct().count()
+    index.close()
 
 
 def test_sliding_min():
