@@ -32,18 +32,18 @@ are found by sorting, and each key is paired with its leader, the smallest key
 of its signature.  All keys that share some signature under one leader form the
 leader's group, so each candidate pair lies in a group.
 
-Verification, in two rounds, so that the texts shipped grow with the number of
-keys and not with the squares of the groups:
-
-1. Each key goes to one group, that of its smallest leader.  A group is cut
-   into blocks of about ``BLOCK_ROWS`` keys or ``BLOCK_SHINGLES`` shingles; its
-   pivots, a block of the keys that share most signatures with others (in a
-   group of near copies the original among them), are compared with every other
-   block, so at most twice the group is shipped.  Components of the links found
-   are formed.
-2. Of each group whose keys are not all in one component by then, the keys
-   outside its largest component are compared with the whole group.  Pairs
-   inside one component need no comparison.
+Verification.  A group of at most ``BLOCK_ROWS`` keys and ``BLOCK_SHINGLES``
+shingles is compared in one task.  Keys of larger ones take two rounds, so that
+the texts shipped grow with a group and not with its square:
+
+1. Each of these keys goes to one large group, that of its smallest leader,
+   which is cut into blocks by a hash.  The pivots, its first block and at most
+   as many keys more that share most signatures with others (in a group of near
+   copies the original among them), are compared with every other block, so at
+   most three times the keys are shipped.
+2. Components of the links found so far are formed.  Of each group with such
+   keys that is in several components, those outside the largest are compared
+   with the whole group.  Pairs inside one component need no comparison.
 
 A task holds two blocks.  It counts shared shingles in an inverted list; before
 a link counts, the words of the shared shingles are compared byte by byte.  Only
@@ -295,7 +295,7 @@ def signature_rows(docs: DataFrame, k: int, similarity: Fraction, text: str, n_b
 
 
 def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """(a, b, weight): each key b with the smallest key a of a signature, and how many others share those signatures."""
+    """(a, b, marks, weight): each key b with the smallest key a of signatures, how many these are, and how often others share them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack_signatures(x) for batch in batches for x in batch.column(1).to_pylist()]
@@ -314,11 +314,13 @@ def candidate_edges(rows: DataFrame, n_buckets: int) -> DataFrame:
             begins = np.append(True, mark[1:] != mark[:-1])
             group = np.cumsum(begins) - 1
             names, dense = np.unique(key, return_inverse=True)
-            edge, place = np.unique(dense[begins][group] * len(names) + dense, return_inverse=True)
-            weight = np.bincount(place, weights=np.bincount(group)[group] - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(names[edge // len(names)]), pa.array(names[edge % len(names)]), pa.array(weight)], names=["a", "b", "weight"])
+            leader, size = dense[begins][group], np.bincount(group)[group]
+            follows = leader != dense
+            edge, place = np.unique((leader * len(names) + dense)[follows], return_inverse=True)
+            weight = np.bincount(place, weights=size[follows] - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names[edge // len(names)]), pa.array(names[edge % len(names)]), pa.array(np.bincount(place)), pa.array(weight)], names=["a", "b", "marks", "weight"])
 
-    return rows.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "a long, b long, weight long")
+    return rows.repartitionById(n_buckets, F.col("bucket")).mapInArrow(run, "a long, b long, marks long, weight long")
 
 
 def linked(sets: list[Shingles], similarity: Fraction, pivot: np.ndarray) -> list[tuple[int, int]]:
@@ -418,48 +420,54 @@ def up_to(n: str) -> F.Column:
     return F.sequence(F.lit(0), F.col(n) - 1)
 
 
-def first_round(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each key in the group of its smallest leader: (leader, key, one, n, ...) and the placed rows."""
-    least = members.groupBy("key").agg(F.min("leader").alias("leader"), *[F.first(c).alias(c) for c in ("one", "size", "weight")])
-    least = scratch.table(least, "homes")
-    groups = least.groupBy(F.col("leader").alias("_leader")).agg(block_count(F.count(F.lit(1)), F.sum("size")).alias("n"), F.count(F.lit(1)).alias("_rows"))
-    rows = scratch.table(least.join(groups, F.col("leader") == F.col("_leader")).drop("_leader"), "homes")
-    # the window keeps at most BLOCK_ROWS rows of a group in each task before it shuffles
-    rank = F.row_number().over(Window.partitionBy("leader").orderBy(F.col("weight").desc(), "key"))
-    pivots = rows.filter("n > 1").select("leader", "weight", "key", F.ceil(F.col("_rows") / F.col("n")).alias("most"), rank.alias("rank"))
-    pivots = pivots.filter((F.col("rank") <= BLOCK_ROWS) & (F.col("rank") <= F.col("most"))).select(F.col("key").alias("_pivot"))
-    own = F.when(F.col("_pivot").isNotNull() | (F.col("n") == 1), 0).otherwise(F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1), F.col("n") - 1)) + 1)
-    placed = scratch.table(rows.join(pivots, F.col("key") == F.col("_pivot"), "left").withColumn("own", own.cast("int")).drop("_pivot"), "placed")
-    scratch.drop(least, rows)
+def group_sizes(members: DataFrame) -> DataFrame:
+    """Blocks of each group, written, so that a join with it has shuffles of its own, which a hot leader's rows can be split in."""
+    return scratch.table(members.groupBy(F.col("leader").alias("_leader")).agg(block_count(F.count(F.lit(1)), F.sum("size")).alias("n")), "groups")
+
+
+def with_homes(members: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` with the home of keys of large groups, and ``groups`` with whether they are ``mixed``, having such keys."""
+    hot = members.join(groups.filter("n > 1"), F.col("leader") == F.col("_leader")).groupBy(F.col("key").alias("_key")).agg(F.min("leader").alias("home"))
+    members = scratch.table(members.join(scratch.table(hot, "hot"), F.col("key") == F.col("_key"), "left").drop("_key"), "members")
+    mixed = members.groupBy(F.col("leader").alias("_l")).agg((F.count("home") > 0).alias("mixed"))
+    return members, scratch.table(groups.join(mixed, F.col("_leader") == F.col("_l")).drop("_l"), "groups")
+
+
+def first_round(members: DataFrame, groups: DataFrame, large: bool) -> DataFrame:
+    """Placed rows: groups without keys of ``large`` groups whole, of large ones the pivots with every block of keys at home."""
+    rows = members.join(groups, F.col("leader") == F.col("_leader")).drop("_leader").withColumn("own", block_of("n", 1))
+    whole = F.array(task(F.col("own"), F.lit(0), F.lit(True)))
+    if not large:
+        return rows.withColumn("tasks", whole)
+    rows = rows.filter("not mixed or leader = home")
+    # the weights that at most BLOCK_ROWS keys of a group reach, from a histogram of some hundred levels
+    level = F.floor(F.log2(F.col("weight") + 1.0) * 16)
+    levels = rows.filter("n > 1").groupBy(F.col("leader").alias("_large"), level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    onward = Window.partitionBy("_large").orderBy(F.col("_level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tops = levels.withColumn("_n", F.sum("_n").over(onward)).filter(F.col("_n") <= BLOCK_ROWS).groupBy("_large").agg(F.min("_level").alias("_top"))
+    rows = rows.join(scratch.table(tops, "tops"), F.col("leader") == F.col("_large"), "left")
+    pivot = (F.col("n") > 1) & ((F.col("own") == 0) | F.coalesce(level >= F.col("_top"), F.lit(False)))
     others = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - 1)), lambda x: task(x, F.lit(0), F.lit(True)))
-    alone = F.array(task(F.col("own"), F.lit(0), F.lit(True)))
-    return placed, placed.filter("_rows > 1").withColumn("tasks", F.when((F.col("own") == 0) & (F.col("n") > 1), others).otherwise(alone))
+    return rows.withColumn("tasks", F.when(pivot, others).otherwise(whole))
 
 
-def second_round(members: DataFrame, homes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows and the placed rows of the groups whose keys are in several components, but for groups that the first round did whole."""
-    known = members.join(roots, F.col("key") == F.col("node"), "left").select("leader", "key", "one", "size", F.coalesce("root", "key").alias("root"))
-    home = homes.select(F.col("key").alias("_key"), F.col("leader").alias("home"), F.col("n").alias("home_n"))
-    known = scratch.table(known.join(home, F.col("key") == F.col("_key")).drop("_key"), "known")
-    some = known.groupBy("leader", "root").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles"), F.min("home").alias("_from"), F.max("home").alias("_to"), F.max("home_n").alias("_n")
-    )
-    n, shingles = F.sum("n"), F.sum("shingles")
-    largest = F.max(F.struct("n", "shingles", "root"))
-    groups = some.groupBy(F.col("leader").alias("_leader")).agg(
+def second_round(members: DataFrame, groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """Placed rows of the mixed groups whose keys are in several components."""
+    known = members.join(groups.filter("mixed"), F.col("leader") == F.col("_leader")).drop("_leader")
+    known = known.join(roots, F.col("key") == F.col("node"), "left").select("leader", "key", "one", "size", "n", F.coalesce("root", "key").alias("root"))
+    known = scratch.table(known, "known")
+    some = known.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("shingles"))
+    largest = F.max(F.struct("rows", "shingles", "root"))
+    open_ = some.groupBy(F.col("leader").alias("_leader")).agg(
         F.count(F.lit(1)).alias("_roots"),
         largest["root"].alias("_major"),
-        block_count(n, shingles).alias("n"),
-        block_count(n - largest["n"], shingles - largest["shingles"]).alias("q"),
-        ((F.min("_from") == F.max("_to")) & (F.max("_n") == 1)).alias("_done"),
+        block_count(F.sum("rows") - largest["rows"], F.sum("shingles") - largest["shingles"]).alias("q"),
     )
-    groups = groups.filter("_roots > 1 and not _done")
-    rows = known.join(groups, F.col("leader") == F.col("_leader")).select("leader", "key", "one", "n", "q", block_of("n", 1).alias("own"), block_of("q", 2).alias("minor"), (F.col("root") != F.col("_major")).alias("apart"))
-    rows = scratch.table(rows, "open")
-    scratch.drop(known)
+    open_ = scratch.table(open_.filter("_roots > 1"), "open")
+    rows = known.join(open_, F.col("leader") == F.col("_leader")).withColumns({"own": block_of("n", 1), "minor": block_of("q", 2), "apart": F.col("root") != F.col("_major")})
     with_minor = F.transform(up_to("q"), lambda j: task(F.col("own"), j, F.col("apart") & (j == F.col("minor"))))
     with_all = F.transform(up_to("n"), lambda i: task(i, F.col("minor"), F.lit(True)))
-    return rows, rows.withColumn("tasks", F.when(F.col("apart"), F.array_distinct(F.concat(with_minor, with_all))).otherwise(with_minor))
+    return rows.withColumn("tasks", F.when(F.col("apart"), F.array_distinct(F.concat(with_minor, with_all))).otherwise(with_minor))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction(4, 5), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -469,24 +477,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES + 1)
     rows = signature_rows(docs, k, similarity, text, n_buckets)
-    edges = scratch.table(candidate_edges(rows, n_buckets).groupBy("a", "b").agg(F.sum("weight").alias("weight")), "candidates")
+    edges = scratch.table(candidate_edges(rows, n_buckets).groupBy("a", "b").agg(F.sum("marks").alias("marks"), F.sum("weight").alias("weight")), "candidates")
     # one document for each key
     keys = sets.filter("key is not null").groupBy("key", "short").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.first("n_shingles").alias("size"))
-    weights = edges.groupBy(F.col("b").alias("_node")).agg(F.sum("weight").alias("weight"))
+    # how often a key shares a signature with another
+    ends = F.array(F.struct(F.col("b").alias("_node"), "weight"), F.struct(F.col("a").alias("_node"), F.col("marks").alias("weight")))
+    weights = edges.select(F.explode(ends).alias("_e")).groupBy("_e._node").agg(F.sum("_e.weight").alias("weight"))
     keys = scratch.table(keys.join(weights, F.col("short") == F.col("_node")).drop("_node"), "keys")
-    members = edges.select("a", "b").join(keys, F.col("b") == F.col("short"))
+    members = edges.select("a", "b").unionByName(edges.select("a", F.col("a").alias("b")).distinct()).join(keys, F.col("b") == F.col("short"))
     members = scratch.table(members.select(F.col("a").alias("leader"), "key", "one", "size", "weight"), "members")
     scratch.drop(edges, keys)
-    homes, placed = first_round(members)
-    links = scratch.table(verified_links(with_texts(placed, homes.count(), docs, text, doc_id), k, similarity), "links")
+    groups = group_sizes(members)
+    large = groups.filter("n > 1").count()
+    if large:
+        members, groups = with_homes(members, groups)
+    rows = members.count()
+    links = scratch.table(verified_links(with_texts(first_round(members, groups, large > 0), rows, docs, text, doc_id), k, similarity), "links")
     roots = connected_components(links)
-    open_, placed = second_round(members, homes, roots)
-    if n_open := open_.count():
-        more = scratch.table(verified_links(with_texts(placed, n_open, docs, text, doc_id), k, similarity), "links")
-        scratch.drop(roots)
-        roots = connected_components(links.unionByName(more))
+    if large:
+        placed = second_round(members, groups, roots)
+        more = scratch.table(verified_links(with_texts(placed, rows, docs, text, doc_id), k, similarity), "links")
+        if more.head(1):
+            scratch.drop(roots)
+            roots = connected_components(links.unionByName(more))
         scratch.drop(more)
-    scratch.drop(members, homes, links, open_)
+    scratch.drop(members, groups, links)
     named = sets.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "key").alias("component"))
     named = scratch.table(named, "named")
     scratch.drop(sets, roots)
