@@ -3,23 +3,32 @@
 Words are summed per source, each source gets a target (its weight's share of
 all words, at most ``MAX_REPEATS`` times its size, the excess shared again by
 weight), and rate = target / size.  A document is emitted floor(rate) times
-plus one Bernoulli copy whose probability is the rate's fraction.  The draw is
-a hash of the document's id and a seed.  Every source takes, of ``N_SEEDS``
-seeds, the one whose draws come nearest its target: each draw keeps its
-probability, reruns agree, and small sources with a few long documents do not
-stray.
+plus one Bernoulli copy whose probability is the rate's fraction.
+
+The draw of most documents is a hash of the id and ``SEED`` below the fraction.
+The ``HEAVY`` largest documents of each source, which would make its taken
+words stray, are drawn together, in order of size: with the fraction f and a
+number u hashed of the source, the r-th one gets a copy if
+floor(f r + u) > floor(f (r - 1) + u).  So every document has its copy with
+probability f exactly, and of the heavy ones' words as many are taken as f asks
+for, give or take less than the largest one's.  (A source whose words are mostly
+one document's must stray: that document has its copy or not.)
 
 The levelling needs no loop.  With sources in order of cap / weight, those at
-their cap are a prefix, so running sums find it exactly.
+their cap are a prefix, so running sums find it exactly.  These windows run
+over one row per source in one task, sorted and spilled by Spark: some ten
+million sources are a matter of seconds.
 
-Only the per-source table (one row a source) is joined to the rows; it is
-broadcast while it has at most ``BROADCAST_SOURCES`` rows.  Texts never
-shuffle.
+Only tables with rows per source are joined to the documents: the rates,
+broadcast while they have at most ``BROADCAST_SOURCES`` rows, and the heavy
+documents, while they have at most ``BROADCAST_SOURCES``.  Beyond that they are
+joined by shuffle.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0 and its documents are not
-taken; rows that repeat an id share its draw; null ids share one draw; an
-empty table gives an empty result.
+taken; rows that repeat an id share its draw where their sizes agree; null ids
+share one draw; equal sizes are ordered by a hash of the id; a text of any
+length is counted whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +42,8 @@ from .text import WORD_RE
 
 MAX_REPEATS = 3
 WEIGHTS = (1, 2, 3)
-N_SEEDS = 128
-PER_HASH = 4  # draws that one hash holds
+SEED = 3
+HEAVY = 256
 BROADCAST_SOURCES = 100_000
 
 
@@ -42,11 +51,10 @@ def n_words(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def draw(doc_id, seed) -> F.Column:
-    """A number in [0, 1) made of the id and the seed: eight of the digits of a hash."""
-    turn, place = F.floor(seed / PER_HASH).cast("int"), (seed % PER_HASH).cast("int")
-    key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), turn.cast("string"))
-    return F.conv(F.substring(F.md5(key.cast("binary")), place * 8 + 1, F.lit(8)), 16, 10).cast("long") / F.lit(4294967296.0)
+def draw(key) -> F.Column:
+    """A number in [0, 1) made of a key and SEED: eight digits of a hash."""
+    named = F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{SEED}"))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
 def targets(totals: DataFrame) -> DataFrame:
@@ -78,28 +86,32 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def rates(sizes: DataFrame) -> DataFrame:
-    """Per source: source_size, target, base (whole copies), part (probability of one more), seed."""
+    """Per source: source_size, target, base (whole copies) and part (probability of one more)."""
     goal = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
     goal = goal.withColumn("base", F.floor(rate)).withColumn("part", rate - F.floor(rate))
-    goal = scratch.table(goal.withColumnRenamed("source", "_source"), "targets")
-    drawn = sizes.join(small(goal, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(N_SEEDS // PER_HASH - 1))))
-    seed = lambda i: F.col("_turn") * PER_HASH + i
-    sums = [F.sum(F.when(draw(F.col("doc_id"), seed(i)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"_{i}") for i in range(PER_HASH)]
-    drawn = drawn.groupBy("source", "_turn").agg(*sums).join(small(goal, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    off = lambda i: F.abs(F.col(f"_{i}") + F.col("base") * F.col("source_size") - F.col("target"))
-    best = F.least(*[F.struct(off(i).alias("off"), seed(i).alias("seed")) for i in range(PER_HASH)])
-    drawn = drawn.groupBy("source").agg(F.min(best)["seed"].alias("_seed"))
-    out = goal.join(drawn, F.col("_source").eqNullSafe(F.col("source"))).select("_source", "source_size", "target", "base", "part", "_seed")
-    return scratch.table(out, "rates")
-
-
-def with_copies(df: DataFrame, table: DataFrame, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    return scratch.table(goal.select(F.col("source").alias("_source"), "source_size", "target", "base", "part"), "rates")
+
+
+def heavy(sizes: DataFrame, table: DataFrame) -> DataFrame:
+    """The largest documents of each source, and whether they get one more copy."""
+    order = Window.partitionBy("source").orderBy(F.col("size").desc(), draw(F.col("doc_id")), "doc_id")
+    # the window keeps at most HEAVY rows of a source in each task before it shuffles
+    ranked = sizes.select("source", "doc_id", "size").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HEAVY)
+    ranked = ranked.groupBy("source", "doc_id", "size").agg(F.min("rank").alias("rank"))
+    ranked = ranked.join(small(table, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
+    up_to = lambda r: F.floor(F.col("part") * r + draw(F.col("source")))
+    more = up_to(F.col("rank")) > up_to(F.col("rank") - 1)
+    return scratch.table(ranked.select(F.col("source").alias("_hs"), F.col("doc_id").alias("_hd"), F.col("size").alias("_hn"), more.alias("_more")), "heavy")
+
+
+def with_copies(df: DataFrame, sizes: DataFrame, table: DataFrame, source: str = "source", doc_id: str = "doc_id", size: str = "size") -> DataFrame:
     """``df`` with source_size, target and how many copies of each row the mix has."""
-    extra = F.when(draw(F.col(doc_id), F.col("_seed")) < F.col("part"), 1).otherwise(0)
-    joined = df.join(small(table, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source")))
-    return joined.withColumn("copies", F.col("base") + extra).drop("_source", "base", "part", "_seed")
+    some = small(heavy(sizes, table), BROADCAST_SOURCES)
+    same = F.col(source).eqNullSafe(F.col("_hs")) & F.col(doc_id).eqNullSafe(F.col("_hd")) & (F.col(size) == F.col("_hn"))
+    joined = df.join(small(table, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source"))).join(some, same, "left")
+    extra = F.coalesce("_more", draw(F.col(doc_id)) < F.col("part")).cast("int")
+    return joined.withColumn("copies", F.col("base") + extra).drop("_source", "base", "part", "_hs", "_hd", "_hn", "_more")
 
 
 def size_table(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -110,14 +122,16 @@ def size_table(docs: DataFrame, text: str = "text", source: str = "source", doc_
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that the mix has, each as often as it has them."""
-    table = rates(size_table(docs, text, source, doc_id)).drop("source_size", "target")
-    chosen = with_copies(docs.select(F.struct(*map(F.col, docs.columns)).alias("_row"), F.col(source).alias("_s"), F.col(doc_id).alias("_d")), table, "_s", "_d")
-    return chosen.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select("_row.*")
+    sizes = size_table(docs, text, source, doc_id)
+    table = rates(sizes)
+    own = docs.select(F.struct(*map(F.col, docs.columns)).alias("_row"), F.col(source).alias("_s"), F.col(doc_id).alias("_d"), n_words(F.col(text)).alias("_n"))
+    chosen = with_copies(own, sizes, table, "_s", "_d", "_n").filter("copies > 0")
+    return chosen.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n")).select("_row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = size_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return with_copies(sizes, rates(sizes)).select(
+    return with_copies(sizes, sizes, rates(sizes)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
@@ -146,13 +160,14 @@ ORACLE_SQL = {
         q AS (SELECT *, coalesce(target / nullif(s, 0)::DOUBLE, 0.0) AS rate FROM g),
         b AS (SELECT *, floor(rate) AS base, rate - floor(rate) AS part FROM q),
         e AS (
-            SELECT d.doc_id, d.source, d.size, b.s, b.target, b.base, k.seed,
-                   ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':' || (k.seed // {PER_HASH})), k.seed % {PER_HASH} * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE < b.part AS extra
-            FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source CROSS JOIN (SELECT unnest(range({N_SEEDS})) AS seed) k),
-        f AS (
-            SELECT source, seed, abs(sum(CASE WHEN extra THEN size ELSE 0 END)::BIGINT + any_value(base) * any_value(s) - any_value(target)) AS off
-            FROM e GROUP BY source, seed),
-        h AS (SELECT source, seed FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, seed) = 1)
-        SELECT e.doc_id, e.size, e.s AS source_size, e.target, ((e.base + e.extra::INT) * e.size)::BIGINT AS taken
-        FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source AND e.seed = h.seed"""
+            SELECT d.doc_id, d.source, d.size, b.s, b.target, b.base, b.part,
+                   ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':{SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw,
+                   ('0x' || substr(md5(coalesce(d.source, 'null') || ':{SEED}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
+            FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
+        h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, draw, doc_id) AS own FROM e),
+        m AS (SELECT *, min(own) OVER (PARTITION BY source, doc_id, size) AS rank FROM h),
+        x AS (
+            SELECT *, CASE WHEN rank <= {HEAVY} THEN floor(part * rank + start) > floor(part * (rank - 1) + start) ELSE draw < part END AS extra
+            FROM m)
+        SELECT doc_id, size, s AS source_size, target, ((base + extra::INT) * size)::BIGINT AS taken FROM x"""
 }
