@@ -5,21 +5,24 @@ starts with the rule's; the longest fitting rule wins.  URLs that no rule
 decides get their verdict from gradient-boosted trees over length, depth,
 digit ratio, entropy, parameter counts and statistics of the host's suffixes.
 
-The trees learn from labelled URLs: those that a rule decides; hand-labelled
-hosts (``SEEDS``) under suffixes and with paths of ``SEED_TAILS`` undecided
-URLs; and undecided URLs of the table as weak examples to allow (no rule
-objects to them).  At most ``TRAIN_ROWS`` of a kind are taken, those with the
-smallest hash, each with the weight of the rows it stands for; the seeds have
-``SEED_SHARE`` of all weight.  Everything runs in DataFrame functions and the
-JVM's tree learner; scoring is a projection.
-
-Suffix statistics are counted over all URLs: the smoothed share of rule-blocked
-URLs among those with the same last and last two labels.  They are joined by
+The trees learn from labelled URLs only: those that a rule decides.  Of each
+label at most ``TRAIN_ROWS`` are taken, those with the smallest hash (equal URLs
+in any order, as they have equal features), each with the weight of the rows it
+stands for.  Everything runs in DataFrame functions and the JVM's tree learner;
+scoring is a projection.
+
+Suffix statistics are the smoothed shares of blocked URLs among all labelled
+ones with the same last, or last two, labels of the host.  Hosts are dealt into
+``FOLDS`` folds by hash, and a labelled URL gets the shares that the other
+folds give, so no URL and no host helps to explain its own label.  ``report``
+measures the trees on hosts that they have not seen.  The shares are joined by
 suffix, broadcast while there are at most ``BROADCAST_SUFFIXES``.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and
-is judged by the trees like any other; repeated rows and null ids get a row
-each; further columns are ignored; an empty table gives an empty result.
+is judged by the trees like any other; where the rules give labels of one kind
+only nothing can be learned, and undecided URLs are allowed; a URL of any
+length is read whole; repeated rows and null ids get a row each; further
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,17 +35,7 @@ from pyspark.sql import functions as F
 from . import scratch
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-BAD = (
-    "best-casino-bonus", "buy-cheap-meds", "www.hot-singles-now", "free-money-today", "win-prizes", "www.slots-jackpot",
-    "m.adult-videos", "track-clicks", "pop-ads", "bet-now", "replica-watches", "blog.easy-loans",
-)
-GOOD = (
-    "university", "www.museum", "blog.gardening", "weather", "news", "m.railway", "archive", "cooking", "www.hospital", "chess",
-    "blog.astronomy", "council",
-)
-SEEDS = tuple((h, 1.0) for h in BAD) + tuple((h, 0.0) for h in GOOD)
-SEED_TAILS = 24
-SEED_SHARE = 0.1
+FOLDS = 5
 TRAIN_ROWS = 4000
 SMOOTH = 20.0
 BROADCAST_SUFFIXES = 200_000
@@ -103,19 +96,27 @@ def with_lexical(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("suffix1", F.substring_index("host", ".", -1)).withColumn("suffix2", F.substring_index("host", ".", -2))
 
 
-def suffix_shares(pages: DataFrame, suffix: str) -> DataFrame:
-    blocked = F.sum(F.when(F.col("by_rule") == "block", 1.0).otherwise(0.0))
-    share = (blocked + 0.5) / (F.count(F.lit(1)) + SMOOTH)
-    return pages.groupBy(F.col(suffix).alias(f"_{suffix}")).agg(share.alias(suffix.replace("suffix", "share")))
+def with_fold(urls: DataFrame) -> DataFrame:
+    return urls.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int"))
+
+
+def suffix_counts(labelled: DataFrame, suffix: str) -> DataFrame:
+    """Per suffix the blocked and all labelled URLs, by fold."""
+    blocked = (F.col("by_rule") == "block").cast("long")
+    of = lambda value: F.array(*[F.sum(F.when(F.col("fold") == i, value).otherwise(0)) for i in range(FOLDS)])
+    return labelled.groupBy(F.col(suffix).alias(f"_{suffix}")).agg(of(blocked).alias(f"_{suffix}_b"), of(F.lit(1)).alias(f"_{suffix}_n"))
 
 
-def with_shares(pages: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def with_shares(urls: DataFrame, tables: dict[str, DataFrame], prior: float, without: int | None = None) -> DataFrame:
+    """``share1`` and ``share2``: of all folds but a labelled URL's own one, and but ``without``."""
     for suffix, table in tables.items():
-        name = suffix.replace("suffix", "share")
         side = F.broadcast(table) if table.count() <= BROADCAST_SUFFIXES else table
-        pages = pages.join(side, F.col(suffix) == F.col(f"_{suffix}"), "left").drop(f"_{suffix}")
-        pages = pages.withColumn(name, F.coalesce(F.col(name), F.lit(0.5 / SMOOTH)))
-    return pages
+        urls = urls.join(side, F.col(suffix) == F.col(f"_{suffix}"), "left")
+        used = lambda i: (F.lit(i) != F.lit(without)) & (F.col("by_rule").isNull() | (F.col("fold") != i)) if without is not None else F.col("by_rule").isNull() | (F.col("fold") != i)
+        total = lambda c: sum(F.when(used(i), F.coalesce(F.col(c)[i], F.lit(0))).otherwise(0) for i in range(FOLDS))
+        share = (total(f"_{suffix}_b") + prior * SMOOTH) / (total(f"_{suffix}_n") + SMOOTH)
+        urls = urls.withColumn(suffix.replace("suffix", "share"), share).drop(f"_{suffix}", f"_{suffix}_b", f"_{suffix}_n")
+    return urls
 
 
 def train(labelled: DataFrame) -> GBTClassificationModel:
@@ -124,36 +125,59 @@ def train(labelled: DataFrame) -> GBTClassificationModel:
     return GBTClassifier(weightCol="weight", maxIter=10, maxDepth=3, minInstancesPerNode=5, stepSize=0.3, maxBins=64, seed=7).fit(data)
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, url: str = "url") -> DataFrame:
+class Learned:
+    """The trees and the suffix counts of a table of URLs; ``model`` is None where nothing can be learned.
+
+    ``without``: a fold whose hosts are left out.
+    """
+
+    def __init__(self, urls: DataFrame, without: int | None = None):
+        labelled = urls.filter("by_rule is not null" if without is None else f"by_rule is not null and fold <> {without}")
+        counts = dict(labelled.groupBy("by_rule").count().collect())
+        self.model, self.without = None, without
+        if len(counts) < 2:
+            return
+        self.prior = counts["block"] / sum(counts.values())
+        self.tables = {s: scratch.table(suffix_counts(labelled, s), s) for s in ("suffix1", "suffix2")}
+        taken = None
+        for verdict, n in counts.items():
+            # a sampled row stands for its share of all rows of its kind
+            rows = labelled.filter(F.col("by_rule") == verdict).orderBy(F.xxhash64("_url")).limit(TRAIN_ROWS)
+            rows = rows.withColumn("label", F.lit(float(verdict == "block"))).withColumn("weight", F.lit(max(1.0, n / TRAIN_ROWS)))
+            taken = rows if taken is None else taken.unionByName(rows)
+        taken = with_shares(taken, self.tables, self.prior, without).select(*FEATURES, "label", "weight")
+        self.model = train(scratch.table(taken.coalesce(2), "training"))
+
+    def blocks(self, urls: DataFrame) -> DataFrame:
+        """``urls`` with a boolean ``trees_block``."""
+        if self.model is None:
+            return urls.withColumn("trees_block", F.lit(False))
+        scored = with_shares(urls, self.tables, self.prior, self.without)
+        scored = self.model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scored))
+        return scored.select(*urls.columns, (F.col("prediction") == 1.0).alias("trees_block"))
+
+
+def prepared(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+    """``pages`` in a struct ``page``, with host, path, rule, its verdict, features and fold."""
+    own = pages.select(F.struct(*[F.col(c) for c in pages.columns]).alias("page"), F.col(url).alias("_url"))
+    return with_fold(with_lexical(with_rule(with_parts(own, "_url"), rules), "_url"))
+
+
+def judge(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """``pages`` in a struct ``page``, with host, path, rule, verdict and trees_block (what the trees say)."""
-    spark = pages.sparkSession
-    keys = list(pages.columns)
-    own = pages.select(F.struct(*[F.col(c) for c in keys]).alias("page"), F.col(url).alias("_url"))
-    parts = with_rule(with_parts(own, "_url"), rules)
-    seen = scratch.table(with_lexical(parts.drop("page"), "_url").drop("path", "host", "rule"), "urls")
-    tables = {s: scratch.table(suffix_shares(seen, s), s) for s in ("suffix1", "suffix2")}
-    kinds = [("by_rule = 'block'", 1.0), ("by_rule = 'allow'", 0.0), ("by_rule is null", 0.0)]
-    counts = seen.agg(*[F.count_if(F.expr(c)) for c, _ in kinds]).first()
-    taken = None
-    for (which, label), n in zip(kinds, counts, strict=True):
-        # a sampled row stands for its share of all rows of its kind
-        rows = seen.filter(which).orderBy(F.xxhash64("_url")).limit(TRAIN_ROWS)
-        rows = rows.withColumn("label", F.lit(label)).withColumn("weight", F.lit(max(1.0, n / TRAIN_ROWS)))
-        taken = rows if taken is None else taken.unionByName(rows)
-    taken = scratch.table(with_shares(taken, tables), "taken")
-    total = taken.agg(F.sum("weight")).first()[0] or 1.0
-    tail = F.regexp_extract("_url", r"(?s)://[^/?#]*(.*)$", 1)
-    tails = taken.filter("by_rule is null").orderBy(F.xxhash64("_url", F.lit(1))).limit(SEED_TAILS).select("suffix2", tail.alias("tail")).collect()
-    tails = [(r.suffix2 or "test", r.tail) for r in tails] or [("test", "/")]
-    hand = spark.createDataFrame([(f"http://{h}.{s}{t}", y) for h, y in seeds for s, t in tails], "_url string, label double")
-    hand = with_shares(with_lexical(with_rule(with_parts(hand, "_url"), ()), "_url"), tables)
-    hand = hand.withColumn("weight", F.lit(max(0.01, total * SEED_SHARE / max(1, len(seeds) * len(tails)))))
-    columns = [*FEATURES, "label", "weight"]
-    model = train(scratch.table(taken.select(columns).unionByName(hand.select(columns)).coalesce(2), "training"))
-    scored = with_shares(with_lexical(parts, "_url"), tables)
-    scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scored))
-    guess = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    return scored.select(F.col("page"), "host", "path", "rule", F.coalesce("by_rule", guess).alias("verdict"), (F.col("prediction") == 1.0).alias("trees_block"))
+    urls = prepared(pages, rules, url)
+    learned = Learned(scratch.table(urls.drop("page", "path", "rule"), "urls"))
+    guess = F.when(F.col("trees_block"), "block").otherwise("allow")
+    return learned.blocks(urls).select("page", "host", "path", "rule", F.coalesce("by_rule", guess).alias("verdict"), "trees_block")
+
+
+def report(pages: DataFrame, rules=RULES, url: str = "url", fold: int = 0) -> dict[str, float]:
+    """Precision and recall of blocking, and the share judged right, on labelled URLs of hosts of a fold that was left out of training."""
+    urls = scratch.table(prepared(pages, rules, url).drop("page", "path", "rule"), "urls")
+    seen = Learned(urls, fold).blocks(urls.filter(f"by_rule is not null and fold = {fold}"))
+    bad, hit = F.col("by_rule") == "block", F.col("trees_block")
+    n, n_bad, n_hit, both = seen.agg(F.count(F.lit(1)), F.count_if(bad), F.count_if(hit), F.count_if(bad & hit)).first()
+    return {"urls": n, "precision": both / max(1, n_hit), "recall": both / max(1, n_bad), "right": (n - n_bad - n_hit + 2 * both) / max(1, n)}
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,31 @@ def test_trees_learn_from_labelled_urls(spark):
     assert out.select(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.95
 
 
+def test_undecided_urls_get_both_verdicts(spark):
+    """Host, path and rule as SQL has them; held-out hosts of known label; both verdicts for the rest."""
+    import duckdb
+
+    con = duckdb.connect()
+    path = "/root/testdata/sf0.1/pages.parquet"
+    want = con.execute(rf"""
+        WITH p AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{urls.UPPER}', '{urls.LOWER}') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM '{path}')
+        SELECT page_id, host, path,
+               CASE WHEN '.' || host LIKE '%.example.net' AND path LIKE '/en/%' THEN 'example.net/en/'
+                    WHEN '.' || host LIKE '%.example.com' AND path LIKE '/de/%' THEN 'example.com/de/'
+                    WHEN '.' || host LIKE '%.org' AND path LIKE '/fr/%' THEN 'org/fr/'
+                    WHEN '.' || host LIKE '%.net' AND path LIKE '/%' THEN 'net/' END AS rule FROM p""").fetchall()
+    says = dict(urls.RULES)
+    out = urls.op7_url_filter(spark, "/root/testdata/sf0.1").collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in out) == Counter(want)
+    assert all(r.verdict == says[r.rule] for r in out if r.rule)
+    assert min(Counter(r.verdict for r in out if not r.rule)[v] for v in ("allow", "block")) > 50
+    measured = urls.report(spark.read.parquet(path))
+    # the features do not show the language in the path, which decides under .net: at best some 0.8 can be right, 0.58 by one verdict for all
+    assert measured["urls"] > 100 and measured["recall"] > 0.5 and measured["precision"] > 0.6 and measured["right"] > 0.65, measured
+
+
 def test_entropy(spark):
     from pyspark.sql import functions as F
 
