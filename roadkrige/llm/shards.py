@@ -1,18 +1,20 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters whole records uniformly into buckets of about
-``bucket_bytes`` by a seeded hash; the number of buckets follows the bytes, so
-a bucket always fits one task.  Pass two puts each bucket in a canonical
+Pass one scatters whole records uniformly into buckets by a seeded hash; their
+number follows the bytes and the memory that the session gives an executor's
+core, so a bucket always fits one task and large executors get large buckets.  Pass two puts each bucket in a canonical
 order, applies a seeded Fisher-Yates shuffle to it and writes it to the shared
 folder.  The rank of a record over all buckets deals the records out to the
 shards in turn, so the shards' row counts are at most one apart.
 
 Equal texts, a hot source or repeated rows are scattered like any other rows:
-the hash also takes the row's place in the input.
+the hash also takes the row's place in the input.  So a rerun over the same
+partitions of the input agrees, and input cut otherwise gets another shuffle,
+as uniform as the first.
 
 Defined cases: a null text has no bytes; null ids and repeated rows are
-records like others; further columns come along unchanged; an empty table
-gives an empty result.
+records like others; a text of any length moves whole; further columns come
+along unchanged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from . import scratch
 
 N_SHARDS = 40
 SEED = 17
-BUCKET_BYTES = 16 << 20
+LEAST_BUCKET = 16 << 20  # bytes below which buckets are not cut just to keep all cores busy
+BUCKET_SHARE = 8  # a core's share of the executor's memory holds so many buckets
 ROW_BYTES = 16
 BROADCAST_BUCKETS = 1_000_000
 OUT_ROWS = 2048
@@ -42,13 +45,20 @@ def record_size(text) -> F.Column:
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
-    """A uniform permutation of 0 .. n - 1; position i swaps with one of 0 .. i, last to first."""
+    """A uniform permutation of 0 .. n - 1; numpy's shuffle is Fisher and Yates's: each place swaps with one up to it, last to first."""
     order = np.arange(n)
-    for i, j in zip(range(n - 1, 0, -1), rng.integers(0, np.arange(n, 1, -1)), strict=True):
-        order[i], order[j] = order[j], order[i]
+    rng.shuffle(order)
     return order
 
 
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of a bucket that fit one core's share of an executor's memory several times over."""
+    units = {"k": 10, "m": 20, "g": 30, "t": 40}
+    memory = spark.conf.get("spark.executor.memory", "1g").lower().removesuffix("b")
+    size = int(memory[:-1]) << units[memory[-1]] if memory[-1] in units else int(memory)
+    return max(LEAST_BUCKET, size // int(spark.conf.get("spark.executor.cores", "1")) // BUCKET_SHARE)
+
+
 def shuffle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All batches of a partition are one bucket."""
     held = [b for b in batches if b.num_rows]
@@ -63,10 +73,11 @@ def shuffle_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield from part.combine_chunks().to_batches()
 
 
-def shuffle(docs: DataFrame, n_shards: int = N_SHARDS, bucket_bytes: int = BUCKET_BYTES, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shuffle(docs: DataFrame, n_shards: int = N_SHARDS, bucket_bytes: int | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` in columns of a struct ``record``, with ``shard`` and ``slot``."""
     total = docs.agg(F.sum(record_size(F.col(text)))).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / bucket_bytes))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_buckets = max(1, math.ceil(total / (bucket_bytes or bucket_size(docs.sparkSession))), min(cores, total // LEAST_BUCKET))
     keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("record"), F.monotonically_increasing_id().alias("_row"))
     where = [F.col(f"record.{doc_id}"), F.col("_row")]
     keyed = keyed.select(
