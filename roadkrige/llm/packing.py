@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .text import LOWER, Known, Words, blocks, column_bytes, ragged
 
@@ -185,24 +186,24 @@ def tokenizer_of(model: str) -> Tokenizer:
 
 
 def pack_documents(
-    docs: DataFrame, model: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, piece_size: int = PIECE
+    docs: DataFrame, model: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id", with_ids: bool = False, with_record: bool = False, piece_size: int = PIECE
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, and record, a number of the row of ``docs``, which tells copies with one id apart)."""
     if model is None:
         from .tokens import default_model
 
         model = default_model(VOCABULARY)
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids + ["record"] * with_record
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, next_id = tokenizer_of(model), TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Array, np.ndarray, list]] = []
+        held: list[tuple[pa.Array, np.ndarray, list, pa.Array]] = []
         n_held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal next_id, held, n_held
-            owner = pa.concat_arrays([x[0] for x in held])
+            owner, record = (pa.concat_arrays([x[i] for x in held]) for i in (0, 3))
             numbers = np.concatenate([x[1] for x in held])
             ids = [i for x in held for i in x[2]]
             length, full = numbers[:, 1], numbers[:, 1] == capacity
@@ -219,7 +220,7 @@ def pack_documents(
             out = [owner, *(pa.array(numbers[:, i]) for i in range(4)), pa.array(sequence + next_id), pa.array(offset)]
             next_id += int(sequence.max()) + 1
             held, n_held = [], 0
-            return pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names)
+            return pa.RecordBatch.from_arrays(out + [pa.array(ids, pa.list_(pa.int32()))] * with_ids + [record] * with_record, names=names)
 
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -236,7 +237,7 @@ def pack_documents(
                         rows.append(a + i)
                         if with_ids:
                             kept.append(piece.astype(np.int32))
-                held.append((batch.column(0).take(pa.array(rows)), np.array(pieces, dtype=np.int64), kept))
+                held.append((batch.column(0).take(pa.array(rows)), np.array(pieces, dtype=np.int64), kept, batch.column(2).take(pa.array(rows))))
                 n_held += len(pieces)
                 if n_held >= GROUP:
                     yield flush()
@@ -244,7 +245,8 @@ def pack_documents(
             yield flush()
 
     types = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return docs.select(doc_id, text).mapInArrow(run, types + ", ids array<int>" * with_ids)
+    rows = docs.select(doc_id, text, F.monotonically_increasing_id().alias("_record"))
+    return rows.mapInArrow(run, types + ", ids array<int>" * with_ids + ", record long" * with_record)
 
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
