@@ -61,8 +61,9 @@ from .text import Words, blocks, column_bytes, pair, ragged, run_hashes
 
 WINDOW = 50
 GRAM = 16
-MAX_RUNS = 2
-BATCHES = 4
+MAX_RUNS = 4  # of an index that is kept
+BATCHES = 2  # of the query, which compacts after each batch
+BATCH_RUNS = 1
 CUT_SAMPLE = 2000  # ids that the cuts between batches are taken from; they decide nothing but the batches' sizes
 PRINT_KEY, WINDOW_KEY = ("print",), ("w1", "w2")
 
@@ -345,7 +346,7 @@ def id_cuts(docs: DataFrame, batches: int) -> list:
     return [x for i, x in enumerate(cuts) if x not in cuts[:i]]
 
 
-def repeated_ranges(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+def repeated_ranges(docs: DataFrame, batches: int = BATCHES, max_runs: int = BATCH_RUNS) -> DataFrame:
     """Ranges of all ``identified`` documents, taken in batches of ascending ids."""
     index = FingerprintIndex(docs.sparkSession, max_runs=max_runs)
     cuts = id_cuts(docs, batches)
@@ -359,7 +360,7 @@ def repeated_ranges(docs: DataFrame, batches: int = BATCHES, max_runs: int = MAX
     return out
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batches: int = BATCHES, max_runs: int = BATCH_RUNS) -> DataFrame:
     own = identified(docs, text, doc_id)
     return removal(own, repeated_ranges(own, batches, max_runs))
 
