@@ -40,8 +40,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
-    return packing.pack_documents(docs)
+    """Pieces of training sequences with their token ids; ``record`` tells the copies of a document apart."""
+    return packing.pack_documents(docs, with_ids=True, with_record=True)
 
 
 STAGES = [
