@@ -17,6 +17,7 @@ from ..functions.geometry import line
 BLOCK = 100
 ROAD_TYPES = ("motorway", "trunk_link", "primary", "secondary", "tertiary_link", "residential", "service", "path")
 AMENITIES = ("bus_stop", "marketplace", "cafe", "school", "pharmacy", None, "place_of_worship", None, None, "bank", "laundry", None)
+EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 N_BOXES = 5
 
 

@@ -46,12 +46,14 @@ def ols_1d(spark, d):
     return spark.createDataFrame([(round(float(model.coefficients[0]), 4), round(float(model.intercept), 2))], "slope double, intercept double")
 
 
-@query("""WITH s AS (SELECT c_nationkey AS g, count(*) AS n FROM customer WHERE c_nationkey IN (0, 1, 2, 3) GROUP BY 1), o AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, g) AS r FROM s)
-    SELECT g AS cluster, (CASE WHEN r = 1 THEN 0 WHEN r = 2 THEN 1 WHEN r = 3 THEN 1
-        ELSE CASE WHEN (SELECT n FROM o WHERE r = 1) <= (SELECT sum(n) FROM o WHERE r IN (2, 3)) THEN 0 ELSE 1 END END)::INTEGER AS fold FROM o""")
+@query("""WITH RECURSIVE o AS (SELECT c_nationkey AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS r FROM customer GROUP BY 1),
+    f AS (SELECT 0::BIGINT AS r, NULL::INTEGER AS g, NULL::INTEGER AS fold, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS d, 0::BIGINT AS e UNION ALL
+        SELECT r, g, fold, a + (fold = 0)::INT * n, b + (fold = 1)::INT * n, c + (fold = 2)::INT * n, d + (fold = 3)::INT * n, e + (fold = 4)::INT * n
+        FROM (SELECT o.r, o.g, o.n, a, b, c, d, e, list_position([a, b, c, d, e], least(a, b, c, d, e)) - 1 AS fold FROM f JOIN o ON o.r = f.r + 1))
+    SELECT g AS cluster, fold::INTEGER AS fold FROM f WHERE r > 0""")
 def group_kfold(spark, d):
-    sizes = X.read(spark, d, "customer").filter("c_nationkey in (0, 1, 2, 3)").groupBy(F.col("c_nationkey").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
-    return M.group_folds(sizes, "cluster", 2)
+    sizes = X.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    return M.group_folds(sizes, "cluster", 5)
 
 
 @query()
@@ -119,7 +121,7 @@ def regression_kriging(spark, d, predict):
     """Regression, residuals per snapped node, variogram over network distance, kriged residuals for all roads."""
     table, rows = labelled(spark, d)
     fitted = storage.table(predict(rows.filter("not is_test"), table), "fitted")
-    edges, nodes, _ = _graph(spark, d)
+    edges, nodes = _graph(spark, d)
     at = storage.table(N.snap(centres(spark, d), nodes, "road_id").select("road_id", "node_id"), "snapped")
     resid = rows.filter("not is_test").select("road_id", "aadt_obs").join(fitted, "road_id").join(at, "road_id")
     resid = storage.table(resid.groupBy("node_id").agg(F.avg(F.col("aadt_obs") - F.col("pred")).alias("r")), "residuals")

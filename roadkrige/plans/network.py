@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import kriging as K
 from ..operators import network as N
 from ..operators import relational as R
@@ -38,29 +39,37 @@ def graph_size(spark, d):
 
 
 @query(sql("segs", more=_PIECES) + """, v AS (SELECT a.cx AS ax, a.cy AS ay, b.cx AS bx, b.cy AS "by", sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) AS w
-        FROM segs a JOIN segs b ON a.road_id < b.road_id AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 22500)
+        FROM segs a JOIN segs b ON a.road_id < b.road_id AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 250000)
     SELECT ax, ay, bx, "by", round(min(w), 6) AS w FROM (SELECT * FROM e UNION ALL SELECT * FROM v) GROUP BY 1, 2, 3, 4""")
 def graph_with_virtual(spark, d):
-    out = N.with_virtual_links(N.line_edges(X.roads(spark, d)), centres(spark, d), "road_id", 150.0)
+    out = N.with_virtual_links(N.line_edges(X.roads(spark, d)), centres(spark, d), "road_id", 500.0)
     return out.withColumn("w", F.round("w", 6))
 
 
-_GRID = """gr AS (SELECT g, ((SELECT count(*) FROM part) // 2) // g AS full_rows FROM g),
-    reg AS (SELECT i * 100.0::DOUBLE AS x, j * 100.0::DOUBLE AS y FROM gr, range(0, g - 1) a(i), range(0, full_rows) b(j)),
-    src AS (SELECT x AS sx, y AS sy FROM reg WHERE x % 1000 = 0 AND y % 1000 = 0),
-    dist AS (SELECT sx, sy, x AS tx, y AS ty, abs(sx - x) + abs(sy - y) AS d FROM src, reg)"""
+# A node's distance from another in closed form: blocks within the full rows and the started one above them, where the
+# lattice is connected both ways; the nodes at its edge hang on one road each (``e``) from the block node (bx, by).
+_GRID = """lat AS (SELECT g, ((SELECT count(*) FROM part) // 2) // g AS top, ((SELECT count(*) FROM part) // 2) % g AS p FROM g),
+    ends AS (SELECT x1 AS x, y1 AS y FROM segs UNION SELECT x2, y2 FROM segs),
+    base AS (SELECT x, y, CASE WHEN x = 100 * g THEN x - 100 ELSE x END AS bx,
+        CASE WHEN y > 100 * top OR (y = 100 * top AND x > 100 * p) THEN y - 100 ELSE y END AS "by" FROM ends, lat),
+    ends_at AS (SELECT *, x - bx + y - "by" AS e FROM base),
+    src AS (SELECT DISTINCT x1 AS x, y1 AS y FROM segs JOIN mean_obs ON osm_id = road_id WHERE aadt_obs IS NOT NULL),
+    dist AS (SELECT s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty,
+        CASE WHEN s.x = t.x AND s.y = t.y THEN 0 ELSE s.e + t.e + abs(s.bx - t.bx) + abs(s."by" - t."by") END AS d
+        FROM ends_at s JOIN src ON s.x = src.x AND s.y = src.y, ends_at t)"""
 
 
 def _graph(spark, d):
-    """Numbered nodes and edges, with the nodes for which distance is known in closed form."""
-    from .. import storage
-
+    """Numbered edges and nodes."""
     edges = N.line_edges(X.roads(spark, d))
     nodes = storage.table(N.nodes_of(edges), "nodes")
-    g = X.lattice_size(spark, d)
-    rows = X.read(spark, d, "part").count() // 2 // g
-    inner = nodes.filter((F.col("x") <= 100.0 * (g - 2)) & (F.col("y") < 100.0 * rows))
-    return N.numbered_edges(edges, nodes), nodes, inner
+    return N.numbered_edges(edges, nodes), nodes
+
+
+def _labelled_nodes(spark, d, nodes):
+    """The nodes that the roads with counts snap to."""
+    counted = R.mean_by_key(X.observations(spark, d)).filter("aadt_obs is not null").select(F.col("osm_id").alias("road_id"))
+    return N.snap(centres(spark, d).join(counted, "road_id", "left_semi"), nodes, "road_id").select("node_id").distinct()
 
 
 def _placed(table, nodes):
@@ -69,25 +78,24 @@ def _placed(table, nodes):
     return table.join(s, "src").join(t, "dst")
 
 
-@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist")
+@query(sql("segs", "mean_obs", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist")
 def network_distance(spark, d):
-    edges, nodes, inner = _graph(spark, d)
-    sources = inner.filter("x % 1000 = 0 and y % 1000 = 0")
-    return _placed(N.network_distance(edges, sources, inner), nodes).select("sx", "sy", "tx", "ty", "dist")
+    edges, nodes = _graph(spark, d)
+    return _placed(N.network_distance(edges, _labelled_nodes(spark, d, nodes), nodes), nodes).select("sx", "sy", "tx", "ty", "dist")
 
 
-@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist UNION ALL SELECT sx, sy, -1.0, -1.0, 1e6 FROM src")
+@query(sql("segs", "mean_obs", more=_GRID) + "SELECT sx, sy, tx, ty, d AS dist FROM dist UNION ALL SELECT x, y, -1.0, -1.0, 1e6 FROM src")
 def network_distance_fill(spark, d):
-    edges, nodes, inner = _graph(spark, d)
+    edges, nodes = _graph(spark, d)
     lost = spark.createDataFrame([(-1, -1.0, -1.0)], "node_id long, x double, y double")
-    matrix = N.distance_matrix(edges, inner.filter("x % 1000 = 0 and y % 1000 = 0"), inner.unionByName(lost))
+    matrix = N.distance_matrix(edges, _labelled_nodes(spark, d, nodes), nodes.unionByName(lost))
     return _placed(matrix, nodes.unionByName(lost)).select("sx", "sy", "tx", "ty", "dist")
 
 
-@query(sql("g", more=_GRID) + "SELECT sx, sy, tx, ty, round(2.5 * exp(-d / 1500), 8) AS cov FROM dist")
+@query(sql("segs", "mean_obs", more=_GRID) + "SELECT sx, sy, tx, ty, round(2.5 * exp(-d / 1500), 8) AS cov FROM dist")
 def cov_matrix(spark, d):
-    edges, nodes, inner = _graph(spark, d)
-    placed = _placed(N.network_distance(edges, inner.filter("x % 1000 = 0 and y % 1000 = 0"), inner), nodes)
+    edges, nodes = _graph(spark, d)
+    placed = _placed(N.network_distance(edges, _labelled_nodes(spark, d, nodes), nodes), nodes)
     return placed.select("sx", "sy", "tx", "ty", F.round(K.exponential_covariance(F.col("dist"), 2.5, 1500.0), 8).alias("cov"))
 
 
@@ -133,17 +141,16 @@ def ok_two_point(spark, d):
     return K.krige_points(model, xy, centres(spark, d), ["road_id"]).withColumn("estimate", F.round("estimate", 4))
 
 
-@query(sql("g", more=_GRID) + """, t AS (SELECT x, y, exp(-(x + y) / 8000) AS k1, exp(-(abs(x - 1000) + y) / 8000) AS k2, 1 + 1e-10 AS s, exp(-1000 / 8000.0) AS c FROM reg)
+@query(sql("segs", "mean_obs", more=_GRID) + """, t AS (SELECT x, y, exp(-(e + bx + "by") / 8000) AS k1, 1 + 1e-10 AS s, exp(-1000 / 8000.0) AS c,
+        exp(-CASE WHEN x = 1000 AND y = 0 THEN 0 ELSE e + abs(bx - least(1000, 100 * g - 100)) + 1000 - least(1000, 100 * g - 100) + "by" END / 8000) AS k2 FROM ends_at, lat)
     SELECT x, y, round((1.5 * (s * k1 - c * k2) - 0.5 * (s * k2 - c * k1)) / (s * s - c * c), 7) AS estimate FROM t""")
 def network_simple_krige(spark, d):
-    edges, nodes, inner = _graph(spark, d)
-    known = [r.node_id for r in inner.filter("y = 0 and x in (0, 1000)").orderBy("x").collect()]  # two nodes
-    if len(known) < 2:
-        return inner.select("x", "y", F.lit(None).cast("double").alias("estimate")).limit(0)
+    edges, nodes = _graph(spark, d)
+    known = [r.node_id for r in nodes.filter("y = 0 and x in (0, 1000)").orderBy("x").collect()]  # two nodes
     model = K.network_simple_kriging(np.array([[0.0, 1000.0], [1000.0, 0.0]]), np.array([1.5, -0.5]))
-    dist = N.network_distance(edges, inner.filter(F.col("node_id").isin(known)), inner)
+    dist = N.network_distance(edges, nodes.filter(F.col("node_id").isin(known)), nodes)
     out = K.krige_distances(model, dist, known)
-    return out.join(inner, F.col("dst") == F.col("node_id")).select("x", "y", F.round("estimate", 7).alias("estimate"))
+    return out.join(nodes, F.col("dst") == F.col("node_id")).select("x", "y", F.round("estimate", 7).alias("estimate"))
 
 
 @query(sql("roads", "mean_obs") + "SELECT road_id, 20000 + 3 * x1 AS aadt_pred_reg, 20000 + 3 * x1 + coalesce(aadt_obs - 25000, 0) AS aadt_pred_rk FROM roads LEFT JOIN mean_obs USING (osm_id)")

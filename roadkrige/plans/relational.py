@@ -62,13 +62,13 @@ def unmatched_triple_anti(spark, d):
 
 
 @query(sql("roads", "sheet") + """, named AS (SELECT rownum, lower(trim(replace(road_name, chr(8203), ''))) AS k, aadt FROM sheet WHERE road_name IS NOT NULL)
-    SELECT n.rownum, n.aadt, r.road_id FROM named n LEFT JOIN (SELECT 'road  ' || c.event_type || ' ' || (road_id % 9) AS k, road_id FROM roads,
-        (SELECT DISTINCT event_type FROM events) c WHERE road_id < 40 AND road_id % 2 = 0) r USING (k)""")
+    SELECT n.rownum, n.aadt, r.road_id FROM named n LEFT JOIN (SELECT 'road  ' || (['click','error','purchase','signup','view'])[road_id % 5 + 1] || ' ' || (road_id // 10 + 2) AS k,
+        road_id FROM roads) r USING (k)""")
 def name_left_join(spark, d):
     sheet = X.count_sheet(spark, d).filter("road_name is not null").select("rownum", "aadt", clean_text(F.col("road_name")).alias("name_key"))
-    kinds = X.read(spark, d, "events").select("event_type").distinct()
-    names = X.roads(spark, d).filter("road_id < 40 and road_id % 2 = 0").select("road_id").crossJoin(F.broadcast(kinds))  # a handful of names
-    names = names.select("road_id", clean_text(F.concat(F.lit("Road  "), "event_type", F.lit(" "), (F.col("road_id") % 9).cast("string"))).alias("name_key"))
+    # two roads share a name
+    name = F.concat(F.lit("Road  "), X.pick(X.EVENT_TYPES, F.col("road_id") % 5), F.lit(" "), F.expr("road_id div 10 + 2").cast("string"))
+    names = X.roads(spark, d).select("road_id", clean_text(name).alias("name_key"))
     return sheet.join(names, "name_key", "left").select("rownum", "aadt", "road_id")
 
 

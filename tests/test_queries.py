@@ -12,8 +12,6 @@ from roadkrige import catalog
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
-# closed forms that hold on larger lattices only
-NEEDS_LATTICE = {"network_distance", "network_distance_fill", "cov_matrix", "network_simple_krige"}
 
 
 def plain(v):
@@ -32,11 +30,7 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    sf = "/root/testdata/sf0.01" if name in NEEDS_LATTICE else SF
-    if name in NEEDS_LATTICE:
-        duck = duckdb.connect()
-        duck.sql(f"CREATE VIEW part AS SELECT * FROM '{sf}/part.parquet'")
-    df, want = catalog.queries()[name](spark, sf), duck.sql(catalog.oracle_sql()[name])
+    df, want = catalog.queries()[name](spark, SF), duck.sql(catalog.oracle_sql()[name])
     assert sorted(df.columns) == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types), strict=True))
     assert {c: TYPES[t] for c, t in df.dtypes if t in TYPES} == {c: types[c] for c, t in df.dtypes if t in TYPES}
