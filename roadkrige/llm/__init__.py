@@ -9,7 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = (
-    "quality", "jaccard", "exact", "mixing", "shards", "tokens", "packing", "topk", "urls", "substring", "balls", "phrases",
+    "quality", "jaccard", "exact", "mixing", "shards", "tokens", "packing", "topk", "urls", "substring", "balls", "phrases", "pii",
 
 )
 
