@@ -56,8 +56,8 @@ MIN_COUNT = 100
 KEEP_SHARE = 100  # per cent of a phrase's occurrences that lie in a longer one before it goes
 TOP = 2000
 UNKNOWN = "und"
-SHARD = 8 << 20
-CHUNK = 1 << 14  # leaves
+SHARD = 6 << 20
+CHUNK = 1 << 13  # leaves
 FRONT = 1 << 19  # leaves that are gathered before a merge
 RANGE = 48 << 20
 SAMPLE = 24 << 20
@@ -71,8 +71,8 @@ def number(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words in byte order, and the place of each in it."""
     coded = words.dictionary_encode()
     order = pc.sort_indices(coded.dictionary.cast(pa.large_binary()))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order.to_numpy()] = np.arange(len(order))
+    rank = np.empty(len(order), dtype=np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
     return coded.dictionary.take(order), rank[coded.indices.to_numpy(zero_copy_only=False)]
 
 
@@ -91,9 +91,10 @@ def ordered(paths: np.ndarray, base: int) -> np.ndarray:
 
 def shared_words(paths: np.ndarray) -> np.ndarray:
     """How many leading numbers each row has in common with the row before; 0 for the first."""
-    out = np.zeros(len(paths), dtype=np.int64)
-    if len(paths) > 1:
-        out[1:] = (paths[1:] == paths[:-1]).cumprod(1).sum(1)
+    out, same = np.zeros(len(paths), dtype=np.uint8), np.ones(max(0, len(paths) - 1), dtype=bool)
+    for c in range(paths.shape[1]):
+        same &= paths[1:, c] == paths[:-1, c]
+        out[1:] += same
     return out
 
 
@@ -113,11 +114,10 @@ def trie(text: pa.Array, lang: pa.Array, longest: int = LONGEST) -> tuple[pa.Arr
     total = len(words.starts)
     names = pc.cast(pa.concat_arrays([words.column(), lang.cast(pa.large_binary())]), pa.large_binary())
     known, rank = number(names)
-    text_of = np.repeat(np.arange(len(text)), words.counts)
+    text_of = np.repeat(np.arange(len(text), dtype=np.int32), words.counts)
     # pieces end with a text, and where an end lies between two words
-    piece = np.cumsum(ends)[words.starts] if total else np.zeros(0, np.int64)
-    piece = piece + np.int64(len(data) + 1) * text_of
-    paths = np.zeros((total, longest + 1), dtype=np.int64)
+    piece = (np.cumsum(ends)[words.starts] if total else np.zeros(0, np.int64)) + np.int64(len(data) + 1) * text_of
+    paths = np.zeros((total, longest + 1), dtype=np.int32)
     paths[:, 0] = rank[total:][text_of] + 1
     for k in range(min(longest, total)):
         on = piece[: total - k] == piece[k:]
@@ -146,21 +146,30 @@ def chunk(known: pa.Array, paths: np.ndarray, n: np.ndarray) -> tuple:
     own, fresh = np.unique(paths[new], return_inverse=True)
     words = known.take(pa.array(own - 1)).cast(pa.string())
     head = known.take(pa.array(paths[0, : size[0]] - 1)).cast(pa.string()).to_pylist()
-    return head, words, shared.astype(np.uint8).tobytes(), size.astype(np.uint8).tobytes(), fresh.astype("<u4").tobytes(), n.astype("<u8").tobytes()
+    return head, words, shared.tobytes(), size.astype(np.uint8).tobytes(), packed(fresh), packed(n)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers of the narrowest width that holds them all."""
+    return x.astype(f"<u{next(w for w in (1, 2, 4, 8) if not len(x) or int(x.max()) < 1 << 8 * w)}").tobytes()
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // count}") if count else np.zeros(0, np.uint8)
 
 
 def opened(words: pa.Array, shared: bytes, size: bytes, fresh: bytes, n: bytes, depth: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words, paths and counts of a chunk."""
     shared, size = np.frombuffer(shared, np.uint8).astype(np.int64), np.frombuffer(size, np.uint8).astype(np.int64)
     column = np.arange(depth)
-    paths = np.zeros((len(size), depth), dtype=np.int64)
+    paths = np.zeros((len(size), depth), dtype=np.int32)
     new = (column >= shared[:, None]) & (column < size[:, None])
-    paths[new] = np.frombuffer(fresh, "<u4").astype(np.int64) + 1
+    paths[new] = unpacked(fresh, int(new.sum())).astype(np.int32) + 1
     # a shared word was last new in the nearest row above that shares fewer words
     for c in range(depth):
         last = np.maximum.accumulate(np.where(shared <= c, np.arange(len(size)), 0))
         paths[:, c] = np.where(c < size, paths[last, c], 0)
-    return words, paths, np.frombuffer(n, "<u8").astype(np.int64)
+    return words, paths, unpacked(n, len(size)).astype(np.int64)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
@@ -258,7 +267,7 @@ class Front:
             return
         known, rank = number(pa.concat_arrays([w for w, *_ in low]))
         starts = np.cumsum([0] + [len(w) for w, *_ in low])
-        paths = np.concatenate([np.concatenate(([0], rank[s : s + len(w)] + 1))[p] for s, (w, p, _) in zip(starts, low, strict=False)])
+        paths = np.concatenate([np.concatenate((np.zeros(1, np.int32), rank[s : s + len(w)] + 1))[p] for s, (w, p, _) in zip(starts, low, strict=False)])
         paths, n = counted(paths, np.concatenate([n for *_, n in low]), len(known) + 1)
         shared = shared_words(paths)
         for depth in range(1, self.depth + 1):
