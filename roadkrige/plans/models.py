@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions.text import max_speed_whole
 from ..operators import kriging as K
+from ..operators import local as L
 from ..operators import models as M
 from ..operators import network as N
 from ..operators import relational as R
+from ..operators.spatial import extent
 from . import fixtures as X
 from .fixtures import sql
 from .network import _graph
 from .registry import query
 from .spatial import centres
 
+REACH = 3000.0  # metres of road within which residuals are compared and kriged
+NEIGHBOURS = 32
 NUMERIC = ["maxspeed_num", "x", "y"]
 SMALL = {"numTrees": (5, 10), "maxDepth": (3, 6), "minInstancesPerNode": (1, 4), "subset": (0.4, 1.0), "bootstrap": (0, 1)}
 
@@ -118,24 +123,25 @@ def perm_importance(spark, d):
 
 
 def regression_kriging(spark, d, predict):
-    """Regression, residuals per snapped node, variogram over network distance, kriged residuals for all roads."""
+    """Regression, residuals per snapped node, variogram over network distance, kriged residuals for all roads.
+
+    The variogram is of all pairs within REACH; each node is kriged from the NEIGHBOURS nearest residuals there.
+    """
     table, rows = labelled(spark, d)
     fitted = storage.table(predict(rows.filter("not is_test"), table), "fitted")
     edges, nodes = _graph(spark, d)
+    edges = storage.table(edges, "graph")
     at = storage.table(N.snap(centres(spark, d), nodes, "road_id").select("road_id", "node_id"), "snapped")
     resid = rows.filter("not is_test").select("road_id", "aadt_obs").join(fitted, "road_id").join(at, "road_id")
     resid = storage.table(resid.groupBy("node_id").agg(F.avg(F.col("aadt_obs") - F.col("pred")).alias("r")), "residuals")
-    sample = resid.limit(K.MAX_SAMPLE + 1).toPandas()
-    K.check_size(len(sample))
-    sample = sample.sort_values("node_id")
-    ids = sample.node_id.tolist()
-    edges = storage.table(edges, "graph")
-    between = N.distances_between(edges, resid, ids)
-    r = sample.r.to_numpy(float)
-    i, j = R.thinned_indices(len(r))
-    nugget, c, a = K.fit_exponential(between[i, j], 0.5 * (r[i] - r[j]) ** 2, float(r.var()))
-    model = K.residual_kriging(between, r, nugget, c, a)
-    kriged = K.krige_sums(model, N.network_distance(edges, resid, nodes), ids, nodes.withColumnRenamed("node_id", "dst"), c, a)
+    near = L.distances_within(edges, nodes, resid, resid, REACH).filter("src < dst")
+    side = lambda c, n: resid.select(F.col("node_id").alias(c), F.col("r").alias(n))
+    cloud = storage.table(K.variogram_cloud(near.join(side("src", "r_i"), "src").join(side("dst", "r_j"), "dst")), "cloud")
+    spread = resid.agg(F.var_pop("r"), F.count(F.lit(1))).first()
+    nugget, c, a = K.fit_variogram(cloud, float(spread[0] or 0.0))
+    box = extent(nodes)
+    start = math.sqrt(NEIGHBOURS * max(box[2] - box[0], 1.0) * max(box[3] - box[1], 1.0) / max(1, spread[1])) if box else REACH
+    kriged = L.krige_network(edges, nodes, resid, nodes, K.Exponential(c, a), c + nugget + K.RIDGE, REACH, NEIGHBOURS, start)
     by_road = at.join(kriged, F.col("node_id") == F.col("dst")).select("road_id", "estimate")
     out = K.combine(fitted, by_road, "road_id")
     truth = rows.select("road_id", "is_test")
@@ -170,8 +176,8 @@ def model_compare(spark, d):
     }
     for name, fit in models.items():
         pred = storage.table(fit()(rows).select("road_id", "x", "y", "aadt_obs", "is_test", "pred"), "pred")
-        sample = pred.filter("not is_test").orderBy("road_id").limit(K.MAX_SAMPLE + 1).select("x", "y", (F.col("aadt_obs") - F.col("pred")).alias("r")).toPandas().to_numpy(float)
-        kriged = K.krige_points(K.spherical_kriging(sample), sample[:, :2], pred.filter("is_test"), ["road_id"])
+        sample = pred.filter("not is_test").select(F.col("road_id").alias("sample_id"), "x", "y", (F.col("aadt_obs") - F.col("pred")).alias("z"))
+        kriged = L.krige_spherical(sample, pred.filter("is_test"), ["road_id"])
         both = K.combine(pred.filter("is_test"), kriged, "road_id")
         for kind, column in (("reg", "pred"), ("rk", "aadt_pred_rk")):
             out.append(M.metrics(both, "aadt_obs", column).select(F.lit(name).alias("model"), F.lit(kind).alias("kind"), "r2", "rmse", "n"))

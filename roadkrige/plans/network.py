@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..operators import kriging as K
+from ..operators import local as L
 from ..operators import network as N
 from ..operators import relational as R
 from ..operators.spatial import radius_pairs
@@ -128,6 +129,26 @@ def variogram_fit(spark, d):
     return spark.createDataFrame([(nugget, c, a)], "nugget double, c double, a double")
 
 
+REACH = 1500.0
+
+
+@query(sql("segs", "mean_obs", more=_GRID) + f"SELECT sx, sy, tx, ty, d AS dist FROM dist WHERE d <= {REACH}")
+def network_distance_within(spark, d):
+    """Pairs of a labelled node and any node within a range, tile by tile."""
+    edges, nodes = _graph(spark, d)
+    return _placed(L.distances_within(edges, nodes, _labelled_nodes(spark, d, nodes), nodes, REACH), nodes).select("sx", "sy", "tx", "ty", "dist")
+
+
+@query(sql("segs", "mean_obs") + """SELECT road_id, rank, sample_id, round(sqrt(d2), 6) AS distance FROM (
+    SELECT s.road_id, m.osm_id AS sample_id, (s.cx - t.cx) * (s.cx - t.cx) + (s.cy - t.cy) * (s.cy - t.cy) AS d2,
+        row_number() OVER (PARTITION BY s.road_id ORDER BY (s.cx - t.cx) * (s.cx - t.cx) + (s.cy - t.cy) * (s.cy - t.cy), m.osm_id)::INTEGER AS rank
+    FROM segs s CROSS JOIN mean_obs m JOIN segs t ON t.road_id = m.osm_id) WHERE rank <= 8""")
+def nearest_labelled_8(spark, d):
+    """The eight labelled roads whose centres are nearest to each road's."""
+    near = L.k_nearest(centres(spark, d), labelled_sample(spark, d), 8, "road_id", "sample_id")
+    return near.withColumn("distance", F.round("distance", 6))
+
+
 _TWO = "80000 - (CASE WHEN {h} > 0 THEN 300 ELSE 0 END + 79700 * (1 - exp(-3 * {h} / 800)))"
 
 
@@ -173,20 +194,16 @@ def kriging_assign(spark, d):
 
 
 def labelled_sample(spark, d):
-    """(x, y, mean count) of all labelled roads; more than the dense system takes are an error, before they are fetched."""
+    """sample_id, x, y, z (mean count) of all labelled roads."""
     mean = R.mean_by_key(X.observations(spark, d)).withColumnRenamed("osm_id", "road_id")
-    rows = centres(spark, d).join(mean, "road_id").limit(K.MAX_SAMPLE + 1).toPandas()
-    K.check_size(len(rows))
-    return rows.sort_values("road_id")[["x", "y", "aadt_obs"]].to_numpy(float)
+    return centres(spark, d).join(mean, "road_id").select(F.col("road_id").alias("sample_id"), "x", "y", F.col("aadt_obs").alias("z"))
 
 
 @query()
 def ok_fixed_variogram(spark, d):
-    sample = labelled_sample(spark, d)
-    return K.krige_points(K.ordinary_kriging(sample), sample[:, :2], centres(spark, d), ["road_id"])
+    return L.krige_fixed(labelled_sample(spark, d), centres(spark, d), ["road_id"])
 
 
 @query()
 def uk_spherical(spark, d):
-    sample = labelled_sample(spark, d)
-    return K.krige_points(K.spherical_kriging(sample), sample[:, :2], centres(spark, d), ["road_id"])
+    return L.krige_spherical(labelled_sample(spark, d), centres(spark, d), ["road_id"])

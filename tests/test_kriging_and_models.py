@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadkrige.operators import kriging as K
+from roadkrige.operators import local as L
 from roadkrige.operators import models as M
 from roadkrige.operators import network as N
 from roadkrige.operators import relational as R
@@ -175,68 +176,42 @@ def test_permutation_importance_finds_the_column_that_matters(spark):
     assert got["a"] > 1 and abs(got["b"]) < 0.05
 
 
-@pytest.mark.parametrize("name, build", [("ok_fixed_variogram", K.ordinary_kriging), ("uk_spherical", K.spherical_kriging)])
-def test_kriging_queries_use_all_labelled_roads(spark, name, build):
-    from roadkrige.plans import fixtures as X
-    from roadkrige.plans.network import labelled_sample
-    from roadkrige.plans.registry import QUERIES
-    from roadkrige.plans.spatial import centres
-
-    sf = "/root/testdata/sf0.01"
-    counted = X.observations(spark, sf).filter("aadt is not null").select("osm_id").distinct().count()
-    sample = labelled_sample(spark, sf)
-    assert len(sample) == counted > 150
-    at = centres(spark, sf).toPandas().set_index("road_id")
-    d = np.sqrt(((at[["x", "y"]].to_numpy(float)[:, None] - sample[None, :, :2]) ** 2).sum(2))
-    want = dict(zip(at.index, build(sample).predict(d), strict=True))
-    assert {r.road_id: r.estimate for r in QUERIES[name](spark, sf).collect()} == pytest.approx(want)
-
-
-def test_spherical_fit_in_parts_equals_all_pairs_and_large_samples_are_refused(sample):
+def test_spherical_fit_is_of_all_pairs(sample):
     i, j = np.triu_indices(len(sample), 1)
     d = np.sqrt(((sample[i, :2] - sample[j, :2]) ** 2).sum(1))
-    nugget, psill, reach = K.fit_spherical(d, 0.5 * (sample[i, 2] - sample[j, 2]) ** 2)
-    model = K.spherical_kriging(sample)
-    assert model.covariance.parameters == pytest.approx((nugget, psill, reach))
-    for build in (K.ordinary_kriging, K.spherical_kriging):
-        with pytest.raises(ValueError, match="at most"):
-            build(np.zeros((K.MAX_SAMPLE + 1, 3)))
-
-
-def test_sums_over_the_network_equal_the_dense_prediction(spark):
-    rng = np.random.default_rng(8)
-    edges = spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 25, 60), rng.integers(0, 25, 60), rng.uniform(1, 9, 60), strict=True)], "src long, dst long, w double")
-    edges = edges.unionByName(spark.createDataFrame([(90, 91, 1.0)], edges.schema))
-    nodes = spark.createDataFrame([(i,) for i in [*range(25), 90, 91]], "node_id long")
-    ids = [1, 4, 9, 16]
-    sources = nodes.filter(F.col("node_id").isin(ids))
-    between, r = N.distances_between(edges, sources, ids), np.array([3.0, -1.0, 2.0, 5.0])
-    matrix = {(x.src, x.dst): x.dist for x in N.distance_matrix(edges, sources, nodes, float("inf")).collect()}
-    assert between.tolist() == [[matrix[s, t] for t in ids] for s in ids]
-    model = K.residual_kriging(between, r, 0.2, 2.0, 6.0)
-    got = {x.dst: x.estimate for x in K.krige_sums(model, N.network_distance(edges, sources, nodes), ids, nodes.withColumnRenamed("node_id", "dst"), 2.0, 6.0).collect()}
-    want = {t: float(model.predict(np.array([[matrix[s, t] for s in ids]]))[0]) for t in [*range(25), 90, 91]}
-    assert got == pytest.approx(want)
+    assert K.spherical_kriging(sample).covariance.parameters == pytest.approx(K.fit_spherical(d, 0.5 * (sample[i, 2] - sample[j, 2]) ** 2))
+
+
+def test_thinned_indices():
     i, j = R.thinned_indices(30, 50)
     assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(i, j) for i in range(30) for j in range(i + 1, 30, 8)][:50]
 
 
 def test_regression_kriging_uses_every_residual(spark, monkeypatch):
+    """On a road of 450 pieces: the estimates are those of each node's nearest residuals, under the variogram of all pairs in reach."""
     from pyspark.sql import Row
 
     from roadkrige.plans import models as P
 
-    sizes, built = [], K.residual_kriging
-    monkeypatch.setattr(K, "residual_kriging", lambda between, r, *rest: sizes.append(len(r)) or built(between, r, *rest))
-    rows = [Row(road_id=i, x=50.0 * i, y=0.0, aadt_obs=float(i % 7), is_test=False) for i in range(450)]
+    rows = [Row(road_id=i, x=50.0 * i, y=0.0, aadt_obs=float(i % 7 + i // 40), is_test=False) for i in range(450)]
     table = spark.createDataFrame(rows)
     nodes = table.select(F.col("road_id").alias("node_id"), "x", "y")
     edges = spark.range(449).selectExpr("id as src", "id + 1 as dst", "50.0D as w")
     monkeypatch.setattr(P, "labelled", lambda spark, d: (table.drop("is_test"), table))
     monkeypatch.setattr(P, "centres", lambda spark, d: table.select("road_id", "x", "y"))
-    monkeypatch.setattr(P, "_graph", lambda spark, d: (edges, nodes, nodes))
+    monkeypatch.setattr(P, "_graph", lambda spark, d: (edges, nodes))
     out = P.regression_kriging(spark, "", lambda train, t: t.select("road_id", F.lit(3.0).alias("pred")))
-    assert out.filter("rk_resid is null").count() == 0 and sizes == [450]
+    got = {r.road_id: r.rk_resid for r in out.collect()}
+    z = np.array([r.aadt_obs - 3.0 for r in rows])
+    far = 50.0 * np.abs(np.subtract.outer(np.arange(450), np.arange(450)))
+    i, j = np.nonzero(np.triu(far <= P.REACH, 1))
+    cloud = spark.createDataFrame([(float(far[a, b]), 0.5 * float(z[a] - z[b]) ** 2) for a, b in zip(i, j, strict=True)], "h double, gamma double")
+    nugget, c, a = K.fit_variogram(cloud, float(z.var()))
+    for t in (0, 7, 200, 333, 449):
+        near = np.lexsort((np.arange(450), far[t]))[: P.NEIGHBOURS]
+        model = K.residual_kriging(far[np.ix_(near, near)], z[near], nugget, c, a)
+        assert got[t] == pytest.approx(float(model.predict(far[t : t + 1, near])[0]), rel=1e-6, abs=1e-9)
+    assert len(got) == 450
 
 
 def test_variogram_fit_sees_all_lags(spark):
@@ -258,9 +233,9 @@ def test_support_vector_queries_take_every_labelled_row(spark, monkeypatch):
     table = spark.createDataFrame(rows)
     monkeypatch.setattr(P, "labelled", lambda spark, d: (table, table))
     fits, kriged, searched = [], [], []
-    fit, krige = M.SVR.fit_arrays, K.spherical_kriging
+    fit, krige = M.SVR.fit_arrays, L.krige_spherical
     monkeypatch.setattr(M.SVR, "fit_arrays", lambda self, x, y: fits.append(len(x)) or fit(self, x, y))
-    monkeypatch.setattr(K, "spherical_kriging", lambda sample: kriged.append(len(sample)) or krige(sample))
+    monkeypatch.setattr(L, "krige_spherical", lambda sample, *rest: kriged.append(sample.count()) or krige(sample, *rest))
     monkeypatch.setattr(M, "grid_search", lambda df, columns, label, fold, grid=None: searched.append((df.count(), grid or M.SVR_GRID)))
     P.svr_pred(spark, "")
     assert P.model_compare(spark, "").count() == 6
