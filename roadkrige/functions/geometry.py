@@ -121,8 +121,18 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(pieces(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
 
 
+def rings_edges(rings: Column) -> Column:
+    """The straight pieces of all rings of a polygon."""
+    return F.flatten(F.transform(rings, pieces))
+
+
 def in_ring(x, y, ring: Column) -> Column:
     """Whether a point lies inside a closed ring, by crossings."""
+    return inside(x, y, pieces(ring))
+
+
+def inside(x, y, edges: Column) -> Column:
+    """Whether a point lies inside closed rings given as their pieces, by the even-odd rule."""
     x, y = _col(x), _col(y)
 
     def cross(acc, s):
@@ -131,7 +141,7 @@ def in_ring(x, y, ring: Column) -> Column:
         at = a["x"] + (y - a["y"]) * F.try_divide(b["x"] - a["x"], b["y"] - a["y"])
         return F.when(spans & (x < at), ~acc).otherwise(acc)
 
-    return F.aggregate(pieces(ring), F.lit(False), cross)
+    return F.aggregate(edges, F.lit(False), cross)
 
 
 def representative_point(ring: Column) -> Column:

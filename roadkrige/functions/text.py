@@ -72,20 +72,21 @@ def match_key(*columns) -> Column:
     return F.concat(*[x for i, c in enumerate(columns) for x in ([F.lit("_")] * (i > 0) + [F.coalesce(F.col(c).cast("string"), F.lit(""))])])
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions / total length)."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+def common_length(masks: dict[str, int], n: int, window: str) -> int:
+    """Length of the longest common subsequence of a text of n characters, given as the bits at which each stands, and a window.
+
+    A bit that has become 0 marks a character that is matched; all bits of a
+    step are worked out by one addition.
+    """
+    full = row = (1 << n) - 1
+    for x in window:
+        met = row & masks.get(x, 0)
+        row = ((row + met) | (row - met)) & full
+    return n - row.bit_count()
 
 
 def best_window_ratio(a: str | None, b: str | None) -> float | None:
-    """The best ratio of the shorter text against any stretch of the longer one."""
+    """The best ratio, 100 (1 - insertions and deletions / total length), of the shorter text against any stretch of the longer one."""
     if a is None or b is None:
         return None
     short, long = sorted((a, b), key=len)
@@ -93,14 +94,16 @@ def best_window_ratio(a: str | None, b: str | None) -> float | None:
         return 100.0 if not long else 0.0
     if short in long:
         return 100.0
-    n = len(short)
-    chars = set(short)
+    n, masks = len(short), {}
+    for i, x in enumerate(short):
+        masks[x] = masks.get(x, 0) | 1 << i
     best = 0.0
     # stretches that start or end with a character that matches nothing are never better
     for start in range(1 - n, len(long)):
         window = long[max(0, start) : start + n]
-        if window[-1] in chars or window[0] in chars:
-            best = max(best, indel_ratio(short, window))
+        most = 200.0 * min(n, len(window)) / (n + len(window))
+        if most > best and (window[-1] in masks or window[0] in masks):
+            best = max(best, 200.0 * common_length(masks, n, window) / (n + len(window)))
     return best
 
 

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import CLASSES
-from ..functions.geometry import buffer_area, centroid, clip_to_box, length, pieces
+from ..functions.geometry import centroid, clip_to_box, length, pieces
 from ..functions.numbers import per_100m, row_sum
-from .spatial import box_join, lines_in_circles, nearest_join, overlay_length, within_join
+from .polygons import line_buffer_area, weighted_mean
+from .spatial import box_join, lines_in_circles, nearest_join, within_join
 
+# Radii in metres and the classes that get a distance.
 FRONTAGE_M = 20.0
 DENSITY_RADII = (100, 300, 800)
 NEAREST_CLASSES = ("transport", "retail", "food", "education", "health")
@@ -54,15 +56,11 @@ def frontage(roads: DataFrame, poi: DataFrame, road_id: str = "road_id", radius:
 
 
 def poi_density(roads: DataFrame, poi: DataFrame, road_id: str = "road_id", radii: tuple[int, ...] = DENSITY_RADII) -> DataFrame:
-    """dens{R}_{class}_kmp2 and totals: counts over the area within R of the road.
-
-    The area is exact for straight roads; for others it is that of a straight
-    road of the same length.
-    """
+    """dens{R}_{class}_kmp2 and totals: counts over the area within R of the road."""
     counted = class_counts(roads, poi, {f"dens{r}": float(r) for r in radii}, road_id)
-    m, out = length(F.col("pts")), [F.col(road_id)]
+    out = [F.col(road_id)]
     for r in radii:
-        area = buffer_area(m, float(r)) / 1e6
+        area = line_buffer_area(F.col("pts"), float(r)) / 1e6
         names = [f"dens{r}_{c}" for c in CLASSES]
         out += [(F.col(n) / area).alias(f"{n}_kmp2") for n in names]
         out.append((row_sum(counted, names) / area).alias(f"dens{r}_total_kmp2"))
@@ -116,15 +114,15 @@ def zonal_mean(zones: DataFrame, pixels: DataFrame, x_min: float, y_max: float,
 def population_by_road(roads: DataFrame, zones: DataFrame, cell: float, road_id: str = "road_id", boxes: bool = True) -> DataFrame:
     """Length-weighted mean of the zones' population along each road; 0 outside all zones.
 
-    ``zones`` have x0, y0, x1, y1 and, where not ``boxes``, a ``ring``.
+    ``zones`` have x0, y0, x1, y1 or, where not ``boxes``, ``zone_id`` and the ``rings`` of a polygon.
     """
+    if not boxes:
+        return weighted_mean(roads, zones, cell, road_id, "zone_id", "population")
     pairs = box_join(roads.select(road_id, "pts"), zones, cell)
-    if boxes:
-        def part(s):
-            return clip_to_box(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
 
-        clipped = F.aggregate(F.transform(pieces(F.col("pts")), part), F.lit(0.0), lambda a, v: a + v)
-    else:
-        clipped = overlay_length(F.col("pts"), F.col("ring"))
+    def part(s):
+        return clip_to_box(s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"], F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+
+    clipped = F.aggregate(F.transform(pieces(F.col("pts")), part), F.lit(0.0), lambda a, v: a + v)
     mean = pairs.withColumn("_m", clipped).filter("_m > 0").groupBy(road_id).agg(F.try_divide(F.sum(F.col("population") * F.col("_m")), F.sum("_m")).alias("population"))
     return roads.select(road_id).join(mean, road_id, "left").withColumn("population", F.coalesce("population", F.lit(0.0)))

@@ -134,8 +134,14 @@ def lines_in_circles(lines: DataFrame, centres: DataFrame, radius: float) -> Dat
 
 
 def overlay_length(pts: Column, ring: Column) -> Column:
-    """Length of a line inside a closed ring: each piece is cut where it crosses the ring."""
-    from ..functions.geometry import in_ring, point_distance
+    """Length of a line inside a closed ring."""
+    return overlay_edges(pts, pieces(ring))
+
+
+def overlay_edges(pts: Column, edges: Column) -> Column:
+    """Length of a line inside rings given as their pieces (even-odd): each piece is cut where it crosses them."""
+    from ..functions.geometry import inside as within
+    from ..functions.geometry import point_distance
 
     def inside(s):
         a, b = s["a"], s["b"]
@@ -149,14 +155,14 @@ def overlay_length(pts: Column, ring: Column) -> Column:
             u = F.try_divide((c["x"] - a["x"]) * dy - (c["y"] - a["y"]) * dx, det)
             return F.when((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t)
 
-        cuts = F.filter(F.transform(pieces(ring), crossing), lambda t: t.isNotNull())
+        cuts = F.filter(F.transform(edges, crossing), lambda t: t.isNotNull())
         cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts)))
         n = F.size(cuts) - 1
         spans = F.zip_with(F.slice(cuts, 1, n), F.slice(cuts, 2, n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
         share = F.aggregate(
             spans,
             F.lit(0.0),
-            lambda acc, v: acc + F.when(in_ring(a["x"] + (v["p"] + v["q"]) / 2 * dx, a["y"] + (v["p"] + v["q"]) / 2 * dy, ring), v["q"] - v["p"]).otherwise(0.0),
+            lambda acc, v: acc + F.when(within(a["x"] + (v["p"] + v["q"]) / 2 * dx, a["y"] + (v["p"] + v["q"]) / 2 * dy, edges), v["q"] - v["p"]).otherwise(0.0),
         )
         return share * point_distance(a, b)
 
@@ -174,6 +180,6 @@ def box_join(lines: DataFrame, boxes: DataFrame, size: float) -> DataFrame:
 
 
 __all__ = [
-    "box_cells", "box_join", "distance2_to", "lines_in_circles", "nearest_join", "overlay_length", "point_line_distance",
+    "box_cells", "box_join", "distance2_to", "lines_in_circles", "nearest_join", "overlay_edges", "overlay_length", "point_line_distance",
     "radius_count", "radius_pairs", "within_join",
 ]

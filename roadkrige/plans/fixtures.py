@@ -102,6 +102,32 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corner with a square hole in each zone, off the lattice; as rings, holes after the shell."""
+    side = lattice_size(spark, sf_dir) * BLOCK / N_BOXES
+    s = F.lit(0.9 * side)
+    at = lambda *steps: line(*[(F.col("x0") + 13.3 + s * a, F.col("y0") + 13.3 + s * b) for a, b in steps])
+    shell = at((0, 0), (1, 0), (1, 1), (0.5, 1), (0.5, 0.5), (0, 0.5), (0, 0))
+    hole = at((0.6, 0.1), (0.9, 0.1), (0.9, 0.4), (0.6, 0.4), (0.6, 0.1))
+    return zones(spark, sf_dir).select("zone_id", F.array(shell, hole).alias("rings"))
+
+
+def bow_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring that crosses itself in each zone."""
+    ring = line(("x0", "y0"), ("x1", "y1"), ("x1", "y0"), ("x0", "y1"), ("x0", "y0"))
+    return zones(spark, sf_dir).select("zone_id", F.array(ring).alias("rings"))
+
+
+def block_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pixel for each block of the lattice that has a road along its lower side; row 0 at the top; some have no value."""
+    g, k = lattice_size(spark, sf_dir), F.col("p_partkey")
+    return read(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(
+        (F.lit(g - 1) - F.expr(f"(p_partkey div 2) div {g}")).cast("int").alias("row"),
+        (F.expr("p_partkey div 2") % g).cast("int").alias("col"),
+        F.when(k % 11 != 0, (k % 97).cast("double")).alias("value"),
+    )
+
+
 def count_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as a count workbook has them: merged cells leave nulls below their first row."""
     k = F.col("event_id")
@@ -164,6 +190,9 @@ _SQL = {
         SELECT n_nationkey::BIGINT AS zone_id, (n_nationkey % 5) * (g * 100 / 5.0::DOUBLE) AS x0, (n_nationkey // 5) * (g * 100 / 5.0::DOUBLE) AS y0,
                (n_nationkey % 5) * (g * 100 / 5.0::DOUBLE) + (g * 100 / 5.0::DOUBLE) AS x1, (n_nationkey // 5) * (g * 100 / 5.0::DOUBLE) + (g * 100 / 5.0::DOUBLE) AS y1
         FROM nation, g)""",
+    "boxes": """boxes AS (
+        SELECT zone_id, sign, x0 + 13.3 + 18.0 * g * a AS bx0, y0 + 13.3 + 18.0 * g * b AS by0, x0 + 13.3 + 18.0 * g * c AS bx1, y0 + 13.3 + 18.0 * g * d AS by1
+        FROM zones, g, (VALUES (1, 0.0, 0.0, 1.0, 0.5), (1, 0.5, 0.5, 1.0, 1.0), (-1, 0.6, 0.1, 0.9, 0.4)) v(sign, a, b, c, d))""",
     "raster": """raster AS (
         SELECT (4 - n_nationkey // 5)::INTEGER AS row, (n_nationkey % 5)::INTEGER AS col, CASE WHEN n_nationkey <> 7 THEN n_nationkey * 40.0::DOUBLE END AS value
         FROM nation)""",
@@ -184,7 +213,7 @@ _SQL = {
         LATERAL (SELECT least(1, greatest(0, ((p.x - s.x1) * (s.x2 - s.x1) + (p.y - s.y1) * (s.y2 - s.y1)) / ((s.x2 - s.x1) * (s.x2 - s.x1) + (s.y2 - s.y1) * (s.y2 - s.y1)))) AS t))""",
 }
 _NEEDS = {
-    "roads": ("g",), "poi": ("g",), "classed": ("poi",), "zones": ("g",), "mean_obs": ("obs",), "segs": ("roads",), "pairs": ("segs", "classed"),
+    "roads": ("g",), "poi": ("g",), "classed": ("poi",), "zones": ("g",), "mean_obs": ("obs",), "segs": ("roads",), "boxes": ("zones",), "pairs": ("segs", "classed"),
 }
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import poi_class
 from ..functions.geometry import centroid
 from ..operators import features as E
+from ..operators import polygons as P
 from ..operators import spatial as S
 from ..operators.match import match_points
 from . import fixtures as X
@@ -133,6 +134,51 @@ def raster_zonal_mean(spark, d):
     return E.zonal_mean(wide, X.raster(spark, d), 0.0, side * X.N_BOXES, side).select("zone_id", F.round("zone_mean", 6).alias("zone_mean"))
 
 
+_INSIDE = """m AS (SELECT road_id, zone_id, sum(sign * CASE WHEN y1 = y2 THEN (y1 BETWEEN by0 AND by1)::INT * greatest(0, least(x2, bx1) - greatest(x1, bx0))
+        ELSE (x1 BETWEEN bx0 AND bx1)::INT * greatest(0, least(y2, by1) - greatest(y1, by0)) END) AS m FROM segs, boxes GROUP BY 1, 2)"""
+
+
+@query(sql("segs", "boxes", more=_INSIDE) + "SELECT road_id, zone_id, round(m, 6) AS m FROM m WHERE m > 1e-9")
+def polygon_overlay(spark, d):
+    """Length of each road inside concave polygons with holes."""
+    inside = P.line_overlay(X.roads(spark, d), X.shapes(spark, d), X.BLOCK * 4.0, "road_id", "zone_id")
+    return inside.filter("m > 1e-9").withColumn("m", F.round("m", 6))
+
+
+@query(sql("segs", "boxes", more=_INSIDE) + "SELECT road_id, round(coalesce(sum(40 * zone_id * m) / nullif(sum(m), 0), 0), 6) AS population FROM segs LEFT JOIN m USING (road_id) GROUP BY road_id")
+def polygon_wmean(spark, d):
+    zones = X.shapes(spark, d).withColumn("population", 40.0 * F.col("zone_id"))
+    out = E.population_by_road(X.roads(spark, d), zones, X.BLOCK * 4.0, boxes=False)
+    return out.select("road_id", F.round("population", 6).alias("population"))
+
+
+@query(sql("boxes") + """, px AS (SELECT 100 * ((p_partkey // 2) % g) + 50 AS x, 100 * ((p_partkey // 2) // g) + 50 AS y, (p_partkey % 97)::DOUBLE AS value FROM part, g WHERE p_partkey % 2 = 0 AND p_partkey % 11 <> 0),
+    hit AS (SELECT zone_id, x, y, value FROM boxes JOIN px ON x > bx0 AND x < bx1 AND y > by0 AND y < by1 GROUP BY ALL HAVING sum(sign) > 0)
+    SELECT zone_id, round(avg(value), 6) AS mean, count(*) AS n FROM hit GROUP BY zone_id""")
+def polygon_mask_mean(spark, d):
+    """Mean of the pixels whose centres lie in concave polygons with holes."""
+    top = float(X.lattice_size(spark, d) * X.BLOCK)
+    return P.mask_mean(X.shapes(spark, d), X.block_pixels(spark, d), "zone_id", 0.0, top, float(X.BLOCK)).withColumn("mean", F.round("mean", 6))
+
+
+@query(sql("roads") + """SELECT a.road_id // 2 AS corner, r, round(400 * r + pi() * r * r + r * r * (pi() / 4 - 1), 6) AS area
+    FROM roads a JOIN roads b ON b.road_id = a.road_id + 1, (VALUES (20), (60)) v(r) WHERE a.road_id % 2 = 0""")
+def buffer_area_bent(spark, d):
+    """Area around lines with a right angle: the roads of a block's corner, walked through it."""
+    side = lambda k: X.roads(spark, d).filter(f"road_id % 2 = {k}").select(F.expr("road_id div 2").alias("corner"), F.col("pts").alias(f"p{k}"))
+    both = side(0).join(side(1), "corner").select("corner", F.concat(F.reverse("p0"), F.slice("p1", 2, 1)).alias("pts"))
+    each = [both.select("corner", F.lit(r).alias("r"), F.round(P.line_buffer_area(F.col("pts"), float(r)), 6).alias("area")) for r in (20, 60)]
+    return X.union_all(each)
+
+
+@query(sql("zones") + """SELECT zone_id, 1 AS n_rings, round(400.0 * g * g / 4, 4) AS area FROM zones, g, range(2)
+    UNION ALL SELECT zone_id, 2, round(0.66 * 324 * g * g, 4) FROM zones, g""")
+def polygon_repair(spark, d):
+    """Self-crossing rings and rings with holes as simple polygons."""
+    simple = P.repaired(X.bow_ties(spark, d).unionByName(X.shapes(spark, d)))
+    return simple.select("zone_id", F.size("rings").alias("n_rings"), F.round(P.polygon_area(F.col("rings")), 4).alias("area"))
+
+
 @query(sql("segs") + """, n AS (SELECT x1 AS x, y1 AS y FROM segs UNION SELECT x2, y2 FROM segs), k AS (SELECT x, y, row_number() OVER (ORDER BY x, y) - 1 AS node_id FROM n)
     SELECT road_id, min_by(node_id, ((cx - x) * (cx - x) + (cy - y) * (cy - y), node_id)) AS node_id, sqrt(min((cx - x) * (cx - x) + (cy - y) * (cy - y))) AS distance
     FROM segs JOIN k ON x BETWEEN cx - 120 AND cx + 120 AND y BETWEEN cy - 120 AND cy + 120 GROUP BY road_id""")

@@ -35,6 +35,13 @@ def _parts(kind: Column, text: Column) -> Column:
     )
 
 
+def _polygons(kind: Column, text: Column) -> Column:
+    """Polygons of an areal geometry, each a list of rings; null for others."""
+    deep, deeper = F.from_json(text, f"array<{_PAIRS}>"), F.from_json(text, f"array<array<{_PAIRS}>>")
+    rings = lambda q: F.transform(q, _points)
+    return F.when(kind == "Polygon", F.array(rings(deep))).when(kind == "MultiPolygon", F.transform(deeper, rings))
+
+
 def _ddl(variant_schema: str) -> str:
     """The schema of a variant as that of JSON: objects are structs, types without a value are text."""
     out = variant_schema.replace("OBJECT<", "STRUCT<")
@@ -43,7 +50,7 @@ def _ddl(variant_schema: str) -> str:
 
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False, properties: str | None = None) -> DataFrame:
-    """A column per property, ``gtype`` and ``parts``."""
+    """A column per property, ``gtype``, ``parts`` (lines or rings) and ``polygons`` (rings by polygon)."""
     if lines:
         text = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"))
     else:
@@ -53,27 +60,29 @@ def read_geojson(spark: SparkSession, path: str, lines: bool = False, properties
     members = F.from_json("f.geometry.geometries", "array<struct<type:string,coordinates:string>>")
     own = F.array(F.struct("f.geometry.type", "f.geometry.coordinates"))
     flat = text.select(F.explode(F.coalesce(members, own)).alias("g"), F.col("f.properties").alias("p"))
-    rows = flat.select(F.col("g.type").alias("gtype"), _parts(F.col("g.type"), F.col("g.coordinates")).alias("parts"), "p")
+    rows = flat.select(F.col("g.type").alias("gtype"), _parts(F.col("g.type"), F.col("g.coordinates")).alias("parts"), _polygons(F.col("g.type"), F.col("g.coordinates")).alias("polygons"), "p")
     if properties is None:
         found = rows.agg(F.schema_of_variant_agg(F.try_parse_json("p")).alias("s")).first().s
         properties = _ddl(found) if found and found.startswith("OBJECT<") and found != "OBJECT<>" else ""
     if not properties:
         return rows.drop("p")
-    return rows.withColumn("p", F.from_json("p", properties)).select("p.*", "gtype", "parts")
+    return rows.withColumn("p", F.from_json("p", properties)).select("p.*", "gtype", "parts", "polygons")
 
 
 def lines_of(df: DataFrame) -> DataFrame:
     """Single-part lines: one row per part of line geometries, other columns repeated."""
-    return df.filter(F.col("gtype").isin("LineString", "MultiLineString") & F.col("parts").isNotNull()).withColumn("pts", F.explode("parts")).filter(F.size("pts") > 0).drop("parts")
+    return df.filter(F.col("gtype").isin("LineString", "MultiLineString") & F.col("parts").isNotNull()).withColumn("pts", F.explode("parts")).filter(F.size("pts") > 0).drop("parts", "polygons")
 
 
 def polygons_of(df: DataFrame) -> DataFrame:
-    """Polygonal features only, a row per ring in ``ring``, empty rings left out.
+    """Single simple polygons, a row each: its shell and then its holes in ``rings``.
 
-    Rings are taken as they are; holes come as rings of their own.
+    Rings that cross themselves or one another are split (even-odd); what has
+    no area is left out.
     """
-    kept = df.filter(F.col("gtype").isin("Polygon", "MultiPolygon") & F.col("parts").isNotNull())
-    return kept.withColumn("ring", F.explode("parts")).filter(F.size("ring") > 3).drop("parts")
+    from ..operators.polygons import repaired
+
+    return repaired(df.withColumn("rings", F.explode("polygons")).drop("parts", "polygons"))
 
 
 def feature_json(df: DataFrame, geometry: str = "pts", kind: str = "LineString") -> DataFrame:

@@ -61,3 +61,25 @@ def test_resolution(spark):
     with pytest.raises(ValueError):
         R.require_rows(df, 4)
     assert R.with_default(df, ("type",), "kind", "unknown").first().kind == "unknown"
+
+
+def test_bit_parallel_score_equals_the_plain_one():
+    import random
+
+    def plain(a, b):
+        short, long = sorted((a, b), key=len)
+        best = 0.0
+        for start in range(1 - len(short), len(long)):
+            window = long[max(0, start) : start + len(short)]
+            row = [0] * (len(window) + 1)
+            for x in short:
+                last = 0
+                for j, y in enumerate(window, 1):
+                    last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+            best = max(best, 200.0 * row[-1] / (len(short) + len(window)))
+        return best
+
+    random.seed(4)
+    for _ in range(400):
+        a, b = ("".join(random.choice("abcd é") for _ in range(random.randint(1, n))) for n in (12, 90))
+        assert T.best_window_ratio(a, b) == plain(a, b)
