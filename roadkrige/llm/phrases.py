@@ -57,9 +57,9 @@ KEEP_SHARE = 100  # per cent of a phrase's occurrences that lie in a longer one
 TOP = 2000
 UNKNOWN = "und"
 SHARD = 6 << 20
-CHUNK = 1 << 13  # leaves
-FRONT = 1 << 19  # leaves that are gathered before a merge
-RANGE = 48 << 20
+CHUNK = 1 << 12  # leaves
+FRONT = 1 << 18  # leaves that are gathered before a merge
+RANGE = 24 << 20
 SAMPLE = 24 << 20
 SALTS = 32
 _ENDS = np.zeros(256, dtype=bool)
@@ -307,7 +307,7 @@ def nodes(rows: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, s
         if front.held:
             yield from front.merge(None)
 
-    spread = tries(rows, cuts, longest, sizes).repartition("range").sortWithinPartitions("range", "head")
+    spread = tries(rows, cuts, longest, sizes).repartition(len(cuts) + 1, "range").sortWithinPartitions("range", "head")
     merged = spread.mapInArrow(run, "lang string, words array<string>, a long")
     return merged.groupBy("lang", "words").agg(F.sum("a").alias("a")).filter((F.col("a") >= min_count) | (F.size("words") == 0))
 
