@@ -1,8 +1,8 @@
 """GeoJSON in and out, with Spark's own readers and JSON functions.
 
-A feature collection is one document per file and so one row of its reader;
-files are read in parallel.  Newline-delimited features (``lines``) split like
-any text.  Property types are taken from all features.
+A feature collection of several blocks is read by several tasks (``collections``),
+newline-delimited features (``lines``) split like any text.  Property types are
+taken from all features.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collections import read_features
+
 _FEATURE = "struct<geometry:struct<type:string,coordinates:string,geometries:string>,properties:string>"
 _PAIRS = "array<array<double>>"
 _POINTS = "array<struct<x:double,y:double>>"
@@ -51,11 +53,8 @@ def _ddl(variant_schema: str) -> str:
 
 def read_geojson(spark: SparkSession, path: str, lines: bool = False, properties: str | None = None) -> DataFrame:
     """A column per property, ``gtype``, ``parts`` (lines or rings) and ``polygons`` (rings by polygon)."""
-    if lines:
-        text = spark.read.text(path).select(F.from_json("value", _FEATURE).alias("f"))
-    else:
-        whole = spark.read.text(path, wholetext=True).select(F.from_json(F.ltrim(F.translate("value", "﻿", "")), f"struct<features:array<{_FEATURE}>>").alias("d"))
-        text = whole.select(F.explode("d.features").alias("f"))
+    features = spark.read.text(path) if lines else read_features(spark, path)
+    text = features.select(F.from_json("value", _FEATURE).alias("f"))
     # a geometry collection gives a row for each of its members
     members = F.from_json("f.geometry.geometries", "array<struct<type:string,coordinates:string>>")
     own = F.array(F.struct("f.geometry.type", "f.geometry.coordinates"))

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from roadkrige.sources import csv_, files, geojson, geotiff, shapefile, xlsx
+from roadkrige.sources import collections, csv_, files, geojson, geotiff, shapefile, xlsx
 from roadkrige.streaming import counts
 
 
@@ -40,6 +40,78 @@ def test_geojson_mixed_geometries(spark, tmp_path):
     assert df.filter("gtype = 'Polygon'").first().parts[0][2].x == 1.0
 
 
+def _odd_collections(n):
+    """Texts with lists, strings and members that look like features, in several layouts."""
+    rng = np.random.default_rng(n)
+    odd = ['"', "}", "\\", '{"type":"Feature"}', '"features": [{', "]}", "ä€😀", "a\nb", '\\"features\\":[', ""]
+    feature = lambda i: {
+        "type": "Feature",
+        "properties": {"k": int(i), "s": "".join(rng.choice(odd, 3)), "features": [{"type": "Feature", "features": [{}]}], "deep": {"a": [{"b": {}}]}},
+        "geometry": {"type": "LineString", "coordinates": rng.integers(0, 99, (int(rng.integers(2, 40)), 2)).tolist()},
+    }
+    head = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"features": [{"type": "Feature"}], "t": '"features":[{'}}, "note": '}"features": ['}
+    rows = [feature(i) for i in range(n)]
+    rows_first = {"features": rows, **head, "links": [{"type": "Feature"}]}
+    return rows, [json.dumps({**head, "features": rows}), json.dumps(rows_first, ensure_ascii=False), json.dumps({**head, "features": rows, "after": [{}, {"features": []}]}, indent=2) + "\n"]
+
+
+def _cut_at(text, borders):
+    """Features by blocks that begin at the given bytes, as the text source splits them."""
+    records, at, starts = text.split(b"}"), 0, [0, *borders]
+    blocks = {s: [] for s in starts}
+    for i, r in enumerate(records):
+        if i < len(records) - 1 or r:
+            # a record is in the last block that begins before it
+            blocks[max(s for s in starts if s == 0 or s < at)].append(r)
+        at += len(r) + 1
+    sums = []
+    for start, own in blocks.items():
+        both = collections._Sum(0), collections._Sum(1)
+        for r in own:
+            for s in both:
+                s.add(collections._plain(r + b"}"))
+        if own:
+            sums.append((start, both[0].row(), both[1].row()))
+    out, pieces = [], {}
+    for start, state in collections.chained(sums).items():
+        for value, begun, ended in collections.cut(iter(blocks[start]), state):
+            if begun and ended:
+                out.append(value)
+            else:
+                pieces.setdefault(start if begun else state.owner, []).append(value)
+    return [json.loads(v) for v in out + [b"".join(p) for p in pieces.values()]]
+
+
+def test_collections_cut_anywhere():
+    rows, texts = _odd_collections(25)
+    rng = np.random.default_rng(1)
+    by_id = lambda found: sorted(found, key=lambda f: f["properties"]["k"])
+    for text in texts:
+        data = text.encode()
+        for n in [0, 1, 2, 5, 40, 400] * 6:
+            borders = sorted({int(b) for b in rng.integers(1, len(data), n)})
+            assert by_id(_cut_at(data, borders)) == rows
+    for text in ['{"type":"FeatureCollection","features":[]}', '{"features":[ ],"a":{"b":1}}', "", "{}", '{"type":"Feature","properties":{}}', "[1]"]:
+        assert _cut_at(text.encode(), []) == []
+
+
+def test_collections_of_several_blocks(spark, tmp_path):
+    rows, texts = _odd_collections(600)
+    for i, text in enumerate([*texts, '{"type":"FeatureCollection","features":[]}', ""]):
+        (tmp_path / f"{i}.geojson").write_text(("\ufeff" if i == 0 else "") + text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+        features = collections.read_features(spark, f"{tmp_path}/*.geojson")
+        assert spark.read.option("lineSep", "}").text(f"{tmp_path}/2.geojson").rdd.getNumPartitions() > 10
+        got = sorted((json.loads(r.value) for r in features.collect()), key=lambda f: f["properties"]["k"])
+        assert got == [r for r in rows for _ in texts]
+        read = geojson.lines_of(geojson.read_geojson(spark, f"{tmp_path}/1.geojson"))
+        assert {r.k: (r.s, len(r.pts)) for r in read.collect()} == {r["properties"]["k"]: (r["properties"]["s"], len(r["geometry"]["coordinates"])) for r in rows}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_xlsx_round_trip_and_counts(spark, tmp_path):
     df = spark.createDataFrame([(1, "a<b", 2.5), (2, None, None)], "k long, s string, v double")
     xlsx.write_xlsx(df, f"{tmp_path}/t.xlsx", "data")
