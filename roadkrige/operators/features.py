@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import CLASSES
 from ..functions.geometry import centroid, clip_to_box, length, pieces
 from ..functions.numbers import per_100m, row_sum
+from ..functions.projections import transform
 from .polygons import line_buffer_area, weighted_mean
 from .spatial import box_join, lines_in_circles, nearest_join, within_join
 
@@ -90,6 +91,18 @@ def road_density(segments: DataFrame, seg_id: str = "road_id", radius: float = R
     )
 
 
+def raster_value(points: DataFrame, pixels: DataFrame, info, epsg: int, x: str = "x", y: str = "y") -> DataFrame:
+    """``points`` of system ``epsg`` with the ``value`` of the pixel they lie in, in the raster's own system.
+
+    ``info`` is the raster's row of ``raster_info``; a raster without a code is in ``epsg`` itself.
+    A point outside it, on no data or without a place has a null.
+    """
+    at = transform(F.col(x), F.col(y), epsg, info["epsg"] or epsg)
+    col, row = F.floor((F.col("_p.x") - info["x_min"]) / info["pixel_x"]), F.floor((info["y_max"] - F.col("_p.y")) / info["pixel_y"])
+    placed = points.withColumn("_p", at).withColumns({"_row": row, "_col": col}).drop("_p")
+    return placed.join(pixels.select(F.col("row").alias("_row"), F.col("col").alias("_col"), "value"), ["_row", "_col"], "left").drop("_row", "_col")
+
+
 def zone_population(zones: DataFrame, pixels: DataFrame, x: str = "x", y: str = "y", x_min: float = 0.0, y_max: float = 0.0, pixel: float = 1.0) -> DataFrame:
     """The raster value under each zone's point, else the mean of its box's pixels, else 0."""
     col, row = F.floor((F.col(x) - x_min) / pixel).cast("int"), F.floor((y_max - F.col(y)) / pixel).cast("int")

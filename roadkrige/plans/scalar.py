@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import projections as P
 from ..functions import text as T
 from ..functions.classify import poi_class
 from . import fixtures as X
@@ -141,3 +142,40 @@ def utm_forward(spark, d):
     k = F.col("c_custkey")
     p = G.utm_forward(100 + (k % 100) / 100.0, 13 + (k % 77) / 77.0)
     return X.read(spark, d, "customer").select("c_custkey", p.alias("p")).select("c_custkey", F.round("p.x", 4).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+# closed forms of three systems: web Mercator, a conformal cone (EPSG:2154) and Albers' (EPSG:5070), both on GRS 80
+def _systems_sql() -> str:
+    psi = lambda p: f"(atanh(sin({p})) - e * atanh(e * sin({p})))"
+    m = lambda p: f"(cos({p}) / sqrt(1 - e * e * sin({p}) * sin({p})))"
+    q = lambda p: f"((1 - e * e) * (sin({p}) / (1 - e * e * sin({p}) * sin({p})) + atanh(e * sin({p})) / e))"
+    return f"""WITH c AS (SELECT c_custkey, radians(-120 + (c_custkey % 97) / 2.0::DOUBLE) AS lam, radians(20 + (c_custkey % 61) / 2.0::DOUBLE) AS phi, 6378137.0::DOUBLE AS a,
+            sqrt(2 / 298.257222101::DOUBLE - 1 / (298.257222101::DOUBLE * 298.257222101::DOUBLE)) AS e,
+            radians(46.5::DOUBLE) AS l0, radians(44.0::DOUBLE) AS l1, radians(49.0::DOUBLE) AS l2, radians(23.0::DOUBLE) AS b0, radians(29.5::DOUBLE) AS b1, radians(45.5::DOUBLE) AS b2 FROM customer),
+        n AS (SELECT *, (ln({m("l1")}) - ln({m("l2")})) / ({psi("l2")} - {psi("l1")}) AS ln_, ({m("b1")} * {m("b1")} - {m("b2")} * {m("b2")}) / ({q("b2")} - {q("b1")}) AS bn FROM c),
+        f AS (SELECT *, a * {m("l1")} * exp(ln_ * {psi("l1")}) / ln_ AS lf, {m("b1")} * {m("b1")} + bn * {q("b1")} AS bc FROM n),
+        r AS (SELECT *, lf * exp(-ln_ * {psi("phi")}) AS lr, lf * exp(-ln_ * {psi("l0")}) AS lr0, a * sqrt(bc - bn * {q("phi")}) / bn AS br, a * sqrt(bc - bn * {q("b0")}) / bn AS br0,
+            ln_ * (lam - radians(3.0::DOUBLE)) AS lt, bn * (lam + radians(96.0::DOUBLE)) AS bt FROM f)
+        SELECT c_custkey, round(a * lam, 3) AS web_x, round(a * atanh(sin(phi)), 3) AS web_y, round(700000 + lr * sin(lt), 3) AS cone_x, round(6600000 + lr0 - lr * cos(lt), 3) AS cone_y,
+            round(br * sin(bt), 3) AS albers_x, round(br0 - br * cos(bt), 3) AS albers_y FROM r"""
+
+
+@query(_systems_sql())
+def project_systems(spark, d):
+    k = F.col("c_custkey")
+    lon, lat = -120 + (k % 97) / 2.0, 20 + (k % 61) / 2.0
+    places = {"web": P.transform(lon, lat, 4326, 3857), "cone": P.transform(lon, lat, 4326, 2154), "albers": P.transform(lon, lat, 4326, 5070)}
+    rows = X.read(spark, d, "customer").select("c_custkey", *[p.alias(n) for n, p in places.items()])
+    return rows.select("c_custkey", *[F.round(f"{n}.{c}", 3).alias(f"{n}_{c}") for n in places for c in "xy"])
+
+
+@query("SELECT c_custkey, round(-120 + (c_custkey % 97) / 2.0::DOUBLE, 9) AS lon, round(20 + (c_custkey % 61) / 2.0::DOUBLE, 9) AS lat FROM customer")
+def reproject_back(spark, d):
+    """Through four systems and back to degrees."""
+    k = F.col("c_custkey")
+    p = G.point(-120 + (k % 97) / 2.0, 20 + (k % 61) / 2.0)
+    rows = X.read(spark, d, "customer").select("c_custkey", p.alias("p"))
+    way = (4326, 3395, 5070, 32613, 3857, 4326)
+    for one, other in zip(way, way[1:], strict=False):
+        rows = rows.select("c_custkey", P.transform("p.x", "p.y", one, other).alias("p"))
+    return rows.select("c_custkey", F.round("p.x", 9).alias("lon"), F.round("p.y", 9).alias("lat"))

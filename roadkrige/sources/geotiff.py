@@ -276,7 +276,7 @@ def read_geotiff(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     return spark.read.format("geotiff").option("ranges", json.dumps(sorted(ranges))).load()
 
 
-def geotiff(band: np.ndarray, x_min: float, y_max: float, pixel: float, nodata: float | None = None, deflate: bool = False) -> bytes:
+def geotiff(band: np.ndarray, x_min: float, y_max: float, pixel: float, nodata: float | None = None, deflate: bool = False, epsg: int | None = None) -> bytes:
     """The bytes of a one-band float64 GeoTIFF in a single strip."""
     raw = np.ascontiguousarray(band, dtype="<f8").tobytes()
     raw = zlib.compress(raw) if deflate else raw
@@ -296,6 +296,8 @@ def geotiff(band: np.ndarray, x_min: float, y_max: float, pixel: float, nodata:
     for tag, kind, *values in ((256, 4, width), (257, 4, height), (258, 3, 64), (259, 3, 8 if deflate else 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, height), (279, 4, len(raw)),
                                (339, 3, 3), (33550, 12, pixel, pixel, 0.0), (33922, 12, 0.0, 0.0, 0.0, x_min, y_max, 0.0)):
         add(tag, kind, *values)
+    if epsg is not None:  # 4000 to 4999: degrees
+        add(34735, 3, 1, 1, 0, 2, 1024, 0, 1, 2 if 4000 <= epsg < 5000 else 1, 2048 if 4000 <= epsg < 5000 else 3072, 0, 1, epsg)
     if nodata is not None:
         add(42113, 2, str(nodata).encode() + b"\0")
     return struct.pack("<2sHI", b"II", 42, base + len(extra)) + raw + extra + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0" * 4
