@@ -7,11 +7,13 @@ over all chunks of the document goes through tanh into one linear unit and a
 sigmoid: the probability of label 1.
 
 Training, on the driver, uses a bounded sample: of each label at most
-``TRAIN_ROWS`` labelled documents of at most ``TRAIN_BYTES`` bytes, those whose
-hashed id is smallest: at most 2 * TRAIN_ROWS * TRAIN_BYTES = 82 MB on the
-driver.  Only the chunk that gives a filter's maximum gets a
-gradient.  The sample is balanced; the bias is then moved to the shares that
-the labels have among all training rows.
+``TRAIN_ROWS`` labelled documents, those whose hashed id is smallest.  A text
+of at most ``TRAIN_BYTES`` bytes is learned from whole, of a longer one a window
+of so many bytes whose place its hashed id decides: at most 2 * TRAIN_ROWS *
+TRAIN_BYTES = 82 MB on the driver, and no text is left out for its length.
+Only the chunk that gives a filter's maximum gets a gradient.  The sample is
+balanced; the bias is then moved to the shares that the labels have among all
+training rows.
 
 Scoring is one pass over the text column, with no shuffle.  Long texts are
 read piece by piece, so memory does not depend on a text's length.
@@ -155,7 +157,7 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> Net | None:
-    """A net learned from at most TRAIN_ROWS labelled documents of each label; None without labels."""
+    """A net learned from at most TRAIN_ROWS labelled documents of each label; None without labelled documents."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(
         F.col(doc_id).alias("_id"), (F.col(label) == 1).cast("int").alias("_y")
     )
@@ -167,7 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     chosen = F.broadcast(some[0].unionByName(some[1]).groupBy("_id").agg(F.min("_y").alias("_y")))
     own = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"))
     rows = own.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_y", "_t")
-    rows = rows.filter(F.length("_t") <= TRAIN_BYTES).orderBy(F.xxhash64("_id", "_t")).limit(2 * TRAIN_ROWS).sort("_id", "_t").toArrow()
+    drawn = rows.orderBy(F.xxhash64("_id", "_t")).limit(2 * TRAIN_ROWS)
+    first = 1 + F.pmod(F.xxhash64("_id"), F.greatest(F.length("_t") - TRAIN_BYTES, F.lit(0)) + 1)
+    rows = drawn.withColumn("_t", F.substr("_t", first.cast("int"), F.lit(TRAIN_BYTES))).sort("_id", "_t").toArrow()
     if not rows.num_rows:
         return None
     return fit(rows["_t"].to_pylist(), rows["_y"].to_pylist(), (counts.get(0, 0), counts.get(1, 0)))

@@ -74,3 +74,32 @@ def test_odd_rows(spark):
     assert quality.score(docs.limit(0), net).count() == 0
     assert quality.train(docs, labels.limit(0)) is None and quality.train(docs.limit(0), labels) is None
     assert {r.score for r in quality.score(docs, None).collect()} == {0.5}
+
+
+def test_long_labelled_texts_are_learned_from(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    words = (["lorem", "gently", "Fluss", "harbour", "evening"], ["BUY!!", "$$$", "click>>", "W1N", "####"])
+    rows = [(i, " ".join(rng.choice(words[i % 2], 5000)), 1 - i % 2) for i in range(180)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    assert min(len(t) for _, t, _ in rows) > quality.TRAIN_BYTES
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, *rest: seen.extend(texts) or fit(texts, *rest))
+    net = quality.train(docs, labels)
+    whole = {i: t.encode() for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(seen) == len(whole) and {len(t) for t in seen} == {quality.TRAIN_BYTES}
+    # windows lie anywhere, not only at the start
+    assert sum(any(t == w[: len(t)] for w in whole.values()) for t in seen) < len(seen) / 4
+    out = quality.score(docs, net).withColumn("held", quality.held_out()).filter("held").collect()
+    assert len(out) > 40 and all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in out)
+
+
+def test_both_labels_of_a_document_count_as_0(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in (2, 3, 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 0), (3, 1), (4, 0), (4, 0)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "held_out", lambda c="doc_id": quality.F.lit(False))
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, ys, *rest: seen.update(zip(texts, ys, strict=True)))
+    quality.train(docs, labels)
+    assert seen == {b"text 2": 0, b"text 3": 1, b"text 4": 0}
