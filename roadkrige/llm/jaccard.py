@@ -33,7 +33,13 @@ of its signature.  All keys that share some signature under one leader form the
 leader's group, so each candidate pair lies in a group.
 
 Verification.  A group of at most ``BLOCK_ROWS`` keys and ``BLOCK_SHINGLES``
-shingles is compared in one task.  Keys of larger ones take two rounds, so that
+shingles is compared in one task.  Larger ones first lose the keys that can have
+no link there.  A shingle that only one key of all large groups has is in no
+intersection, so a key shares at most its other shingles, and a set of known
+size and number of such others bounds the similarity.  A key whose bound is too
+low for every size in its group leaves it.  In a group of copies around one
+original these are the copies too far from it, which have no links but would be
+compared with all others.  Keys of groups still large take two rounds, so that
 the texts shipped grow with a group and not with its square:
 
 1. Each of these keys goes to one large group, that of its smallest leader,
@@ -402,16 +408,87 @@ def block_of(n: str, seed: int) -> F.Column:
     return F.pmod(F.xxhash64("key", F.lit(seed)), F.col(n)).cast("int")
 
 
-def with_texts(placed: DataFrame, rows: int, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``placed`` (leader, key, one and an array of tasks (i, j, pivot)) with the texts, a row for each task."""
-    placed = placed.select("leader", "key", "tasks", F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text_key"))
+def joined_texts(placed: DataFrame, rows: int, docs: DataFrame, text: str, doc_id: str, *names: str) -> DataFrame:
+    """The columns ``names`` of ``placed`` and the text of its ``one``."""
+    placed = placed.select(*names, F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text_key"))
     if rows * MEMBER_BYTES <= BROADCAST_LIMIT:
         placed = F.broadcast(placed)
     own = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"), F.xxhash64(text).alias("_own"))
     texts = own.join(placed, (F.col("_own") == F.col("_text_key")) & F.col("_doc").eqNullSafe(F.col("_id")))
+    return texts.select(*names, "text")
+
+
+def with_texts(placed: DataFrame, rows: int, docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``placed`` (leader, key, one and an array of tasks (i, j, pivot)) with the texts, a row for each task."""
+    texts = joined_texts(placed, rows, docs, text, doc_id, "leader", "key", "tasks")
     return texts.select("leader", "key", "text", F.explode("tasks").alias("_t")).select("leader", "_t.i", "_t.j", "_t.pivot", "key", "text")
 
 
+def own_shingles(keys: DataFrame, rows: int, docs: DataFrame, k: int, text: str, doc_id: str, n_buckets: int) -> DataFrame:
+    """_short, own: how many shingles of a key no other key of ``keys`` (short, one) has; 0 where short keys collide."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, marks, held = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(names)), [len(m) for m in marks])
+            return pack_signatures(np.concatenate([*marks, np.zeros(0, np.uint64)]), np.array(names, dtype=np.int64), owner, n_buckets)
+
+        for batch in batches:
+            short = batch.column(0).to_pylist()
+            for first, data, offsets in _texts(batch.column(1)):
+                for name, s in zip(short[first:], shingle_sets(data, offsets, k), strict=False):
+                    names.append(name)
+                    marks.append(mix(s.values))
+                    held += len(s)
+                    if held >= PACK_SIGNATURES or len(names) >= PACK_KEYS:
+                        yield flush()
+                        names, marks, held = [], [], 0
+        yield flush()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [unpack_signatures(x) for batch in batches for x in batch.column(1).to_pylist()]
+        mark, key = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        del parts
+        order = np.lexsort((key, mark))
+        mark, key = mark[order], key[order]
+        # rows that repeat an id and a text bring a shingle of one key twice
+        new = np.append(True, (mark[1:] != mark[:-1]) | (key[1:] != key[:-1]))[: len(mark)]
+        mark, key = mark[new], key[new]
+        same = mark[1:] == mark[:-1]
+        alone = ~(np.append(same, False) | np.append(False, same))[: len(mark)]
+        names, own = np.unique(key[alone], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(own)], names=["_short", "own"])
+
+    single = keys.groupBy("short").agg(F.count(F.lit(1)).alias("_n"), F.first("one").alias("one")).filter("_n = 1")
+    packed = joined_texts(single, rows, docs, text, doc_id, "short").mapInArrow(pack, "bucket int, packed binary")
+    counted = packed.repartitionById(n_buckets, F.col("bucket")).mapInArrow(count, "_short long, own long")
+    return scratch.table(counted.groupBy("_short").agg(F.sum("own").alias("own")), "own")
+
+
+def linkable(members: DataFrame, groups: DataFrame, docs: DataFrame, k: int, similarity: Fraction, text: str, doc_id: str) -> DataFrame:
+    """``members`` without the keys that no set in their large group can be linked with."""
+    named = members.join(groups, F.col("leader") == F.col("_leader")).drop("_leader")
+    hot = scratch.table(named.filter("n > 1").groupBy("key", "short").agg(F.first("one").alias("one"), F.first("size").alias("size")), "hot")
+    total, rows = hot.agg(F.sum("size"), F.count(F.lit(1))).first()
+    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_SHINGLES + 1)
+    own = own_shingles(hot, rows, docs, k, text, doc_id, n_buckets)
+    named = named.join(own, F.col("short") == F.col("_short"), "left").drop("_short").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
+    # of the sets of about one size, the smallest and the most shingles that another has
+    about = F.floor(F.log2("size") * 64)
+    levels = named.filter("n > 1").groupBy("leader", about.alias("_level")).agg(F.min("size").alias("size"), F.max("common").alias("common"))
+    levels = levels.groupBy(F.col("leader").alias("_leader")).agg(F.collect_list(F.struct("size", "common")).alias("_levels"))  # some dozens
+
+    def may(other):
+        both = F.least(F.col("common"), other["common"])
+        return both * similarity.denominator >= (F.col("size") + other["size"] - both) * similarity.numerator
+
+    kept = named.join(scratch.table(levels, "levels"), F.col("leader") == F.col("_leader"), "left").filter((F.col("n") == 1) | F.exists("_levels", may))
+    out = scratch.table(kept.select(*members.columns), "members")
+    scratch.drop(hot, own, members)
+    return out
+
+
 def task(i, j, pivot) -> F.Column:
     return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), pivot.alias("pivot"))
 
@@ -485,10 +562,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: Fraction = Fraction
     weights = edges.select(F.explode(ends).alias("_e")).groupBy("_e._node").agg(F.sum("_e.weight").alias("weight"))
     keys = scratch.table(keys.join(weights, F.col("short") == F.col("_node")).drop("_node"), "keys")
     members = edges.select("a", "b").unionByName(edges.select("a", F.col("a").alias("b")).distinct()).join(keys, F.col("b") == F.col("short"))
-    members = scratch.table(members.select(F.col("a").alias("leader"), "key", "one", "size", "weight"), "members")
+    members = scratch.table(members.select(F.col("a").alias("leader"), "key", "short", "one", "size", "weight"), "members")
     scratch.drop(edges, keys)
     groups = group_sizes(members)
     large = groups.filter("n > 1").count()
+    if large:
+        members = linkable(members, groups, docs, k, similarity, text, doc_id)
+        scratch.drop(groups)
+        groups = group_sizes(members)
+        large = groups.filter("n > 1").count()
     if large:
         members, groups = with_homes(members, groups)
     rows = members.count()

@@ -187,3 +187,28 @@ def test_hot_group_ships_texts_in_proportion(spark, monkeypatch):
         assert {r.component_id for r in jaccard.near_duplicates(df, 5, Fraction(4, 5)).collect()} == {0}
         rows[n] = sum(shipped)
     assert rows[1200] < 6 * rows[300] and rows[1200] < 5 * 1200, rows
+
+
+def test_copies_too_far_from_all_others_are_not_compared(spark, monkeypatch):
+    """Copies with so many shingles of their own that they have no link stay out of the second round."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):
+        words = list(base)
+        for p in rng.choice(150, 2 if i % 4 == 0 else 7, replace=False).tolist():
+            words[p] = f"x{i}p{p}"
+        rows.append((i, " ".join(words)))
+    shipped, real = [], jaccard.verified_links
+
+    def counted(members, *rest):
+        shipped.append(members.count())
+        return real(members, *rest)
+
+    monkeypatch.setattr(jaccard, "verified_links", counted)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 32)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(docs, 4, Fraction(85, 100)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute(rows, 4, Fraction(85, 100)))
+    assert len({r.component_id for r in found}) > 200
+    assert sum(shipped) <= 6 * len(rows)
