@@ -41,7 +41,7 @@ def class_counts(roads: DataFrame, poi: DataFrame, radii: dict[str, float], road
     ]
     table = ringed.groupBy(road_id).agg(*counts)
     names = [f"{prefix}_{c}" for prefix in radii for c in CLASSES]
-    joined = roads.select(road_id, "pts").join(table, road_id, "left")
+    joined = roads.select(road_id, "pts").join(table.hint("merge"), road_id, "left")
     return joined.select(road_id, "pts", *[F.coalesce(n, F.lit(0)).alias(n) for n in names])
 
 
@@ -74,7 +74,7 @@ def nearest_by_class(roads: DataFrame, poi: DataFrame, road_id: str = "road_id",
     points = poi.filter(F.col("l1").isin(*classes)).select(F.col("poi_id"), "x", "y", "l1")
     found = nearest_join(asked, points, road_id, "poi_id", on=("l1",))
     table = found.groupBy(road_id).agg(*[F.min(F.when(F.col("l1") == c, F.col("distance"))).alias(f"dist_{c}_m") for c in classes])
-    return roads.select(road_id).join(table, road_id, "left")
+    return roads.select(road_id).join(table.hint("merge"), road_id, "left")
 
 
 def road_density(segments: DataFrame, seg_id: str = "road_id", radius: float = ROAD_DENSITY_RADIUS, include_self: bool = True) -> DataFrame:
@@ -86,7 +86,7 @@ def road_density(segments: DataFrame, seg_id: str = "road_id", radius: float = R
     total = inside.groupBy(F.col("_centre").alias(seg_id)).agg(F.sum("clip_m").alias("_m"))
     area = math.pi * radius * radius / 1e6
     m = F.coalesce("_m", F.lit(0.0))
-    return segments.select(seg_id, length(F.col("pts")).alias("seg_len_m")).join(total, seg_id, "left").select(
+    return segments.select(seg_id, length(F.col("pts")).alias("seg_len_m")).join(total.hint("merge"), seg_id, "left").select(
         seg_id, "seg_len_m", m.alias("road_length_in_R_m"), (m / 1000 / area).alias("road_density")
     )
 
