@@ -40,7 +40,9 @@ def polygon_area(rings: Column) -> Column:
 def line_overlay(lines: DataFrame, polygons: DataFrame, cell: float, line_id: str, polygon_id: str) -> DataFrame:
     """line_id, polygon_id, m: the length of each line (``pts``) inside each polygon (``rings``) it meets."""
     pairs = box_join(lines.select(line_id, "pts"), boxed(polygons.select(polygon_id, "rings")), cell)
-    return pairs.select(line_id, polygon_id, overlay_edges(F.col("pts"), rings_edges(F.col("rings"))).alias("m")).filter("m > 0")
+    # a row for each length: what filters name is not worked out again for them
+    met = F.explode(F.array(overlay_edges(F.col("pts"), rings_edges(F.col("rings")))))
+    return pairs.select(line_id, polygon_id, met.alias("m")).filter("m > 0")
 
 
 def weighted_mean(lines: DataFrame, polygons: DataFrame, cell: float, line_id: str, polygon_id: str, value: str) -> DataFrame:

@@ -159,3 +159,14 @@ def test_areas_column(spark):
     df = spark.createDataFrame([(i, [{"x": float(x), "y": float(y)} for x, y in p]) for i, p in enumerate(lines)] + [(4, None)], "id long, pts array<struct<x:double,y:double>>")
     got = {r.id: r.a for r in df.select("id", P.line_buffer_area(F.col("pts"), 2.0).alias("a")).collect()}
     assert got == {**{i: pytest.approx(P.area_around(p, 2.0)) for i, p in enumerate(lines)}, 4: None}
+
+
+def test_overlay_lists_no_polygon_cells_for_a_pair_and_spreads_its_work(spark):
+    square = [[(0.0, 0.0), (40.0, 0.0), (40.0, 40.0), (0.0, 40.0), (0.0, 0.0)]]
+    lines = spark.range(2000).selectExpr("id as road_id", "array(named_struct('x', double(id % 50), 'y', double(id div 50)), named_struct('x', double(id % 50 + 1), 'y', double(id div 50))) as pts")
+    met = P.line_overlay(lines, as_rows(spark, [square]), 1.0, "road_id", "zone_id")
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" not in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+    rows = met.collect()
+    assert len(rows) == len({r.road_id for r in rows}) and {r.m for r in rows} == {1.0}
+    assert {r.road_id for r in rows if 0 < r.road_id // 50} == {i for i in range(50, 2000) if i % 50 < 40}
