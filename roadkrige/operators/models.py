@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import dense_id, seeded_hash, stratified_sample
+from .support import Fits
 
 SEED = 42
 TEST_RATIO = 0.2
@@ -240,6 +241,24 @@ class SVR:
         return df.withColumn(to, predict(*[F.col(c).cast("double") for c in columns]))
 
 
+class WideSVR(SVR):
+    """The same regression for any number of rows (``support``); no task and no driver holds them."""
+
+    def fit(self, df: DataFrame, label: str) -> WideSVR:
+        setting = {"C": self.C, "epsilon": self.epsilon, "gamma": self.gamma}
+        self.basis, self.at, self.centre, self.spread = Fits(df, self.columns, label, [setting]).weights(0)
+        return self
+
+    def predict_arrays(self, x: np.ndarray) -> np.ndarray:
+        return self.centre + self.spread * (self.basis.features(x) @ self.at)
+
+
+def support_vectors(df: DataFrame, columns: list[str], label: str, **setting) -> SVR:
+    """An SVR fitted to all rows: dense while a task can hold the kernel of all pairs, else over their pivots."""
+    few = len(df.select(F.lit(1)).limit(SAMPLE_ROWS + 1).collect()) <= SAMPLE_ROWS
+    return (SVR if few else WideSVR)(columns, **setting).fit(df, label)
+
+
 def score_r2(y: np.ndarray, p: np.ndarray) -> float:
     total = ((y - y.mean()) ** 2).sum()
     return float(1 - ((y - p) ** 2).sum() / total) if total > 0 else 0.0
@@ -248,9 +267,11 @@ def score_r2(y: np.ndarray, p: np.ndarray) -> float:
 def grid_search(df: DataFrame, columns: list[str], label: str, fold: str, grid: dict | None = None) -> DataFrame:
     """Mean R2 over folds of every SVR setting; settings and folds are spread over the tasks.
 
-    The labelled sample (at most SAMPLE_ROWS rows) goes to every task.
+    Up to SAMPLE_ROWS labelled rows go to every task; more are fitted where they are, all settings at once.
     """
     spark = df.sparkSession
+    if len(df.select(F.lit(1)).limit(SAMPLE_ROWS + 1).collect()) > SAMPLE_ROWS:
+        return _wide_search(df, columns, label, fold, grid or SVR_GRID)
     data = to_numpy(df, [*columns, label, fold])
     sent = spark.sparkContext.broadcast(data)
     grid = grid or SVR_GRID
@@ -274,6 +295,15 @@ def grid_search(df: DataFrame, columns: list[str], label: str, fold: str, grid:
     return scored.groupBy("setting", *names).agg(F.avg("r2").alias("mean_r2"), F.count(F.lit(1)).alias("n_folds"))
 
 
+def _wide_search(df: DataFrame, columns: list[str], label: str, fold: str, grid: dict) -> DataFrame:
+    names = list(grid)
+    settings = [dict(zip(names, values, strict=True)) for values in product(*grid.values())]
+    fits = Fits(df, columns, label, settings, fold)
+    scores = np.reshape(fits.scores(), (len(settings), -1))
+    rows = [(i, *[str(s[n]) for n in names], float(r.mean()), len(r)) for i, (s, r) in enumerate(zip(settings, scores, strict=True))]
+    return df.sparkSession.createDataFrame(rows, ", ".join(["setting int", *[f"{n} string" for n in names], "mean_r2 double", "n_folds long"]))
+
+
 def random_search(df: DataFrame, numeric: list[str], category: str | None, label: str, fold: str, draws: int = 30, seed: int = SEED, space: dict | None = None) -> list[dict]:
     """Random forest settings with their mean R2 over folds, best first."""
     rng, space, out = np.random.default_rng(seed), space or FOREST_DRAWS, []

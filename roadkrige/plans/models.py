@@ -83,7 +83,7 @@ def predict_network(spark, d):
 @query()
 def svr_pred(spark, d):
     table, rows = labelled(spark, d)
-    model = M.SVR(NUMERIC).fit(rows.filter("not is_test").orderBy("road_id"), "aadt_obs")
+    model = M.support_vectors(rows.filter("not is_test").orderBy("road_id"), NUMERIC, "aadt_obs")
     return model.transform(table).select("road_id", F.col("pred").alias("aadt_pred_reg"))
 
 
@@ -172,7 +172,7 @@ def model_compare(spark, d):
     models = {
         "linear": lambda: M.least_squares(NUMERIC, "type", "aadt_obs").fit(train).transform,
         "forest": lambda: M.forest(NUMERIC, "type", "aadt_obs", trees=10, depth=8, seed=0).fit(train).transform,
-        "svr": lambda: M.SVR(NUMERIC).fit(train.orderBy("road_id"), "aadt_obs").transform,
+        "svr": lambda: M.support_vectors(train.orderBy("road_id"), NUMERIC, "aadt_obs").transform,
     }
     for name, fit in models.items():
         pred = storage.table(fit()(rows).select("road_id", "x", "y", "aadt_obs", "is_test", "pred"), "pred")
