@@ -134,9 +134,7 @@ def regression_kriging(spark, d, predict):
     at = storage.table(N.snap(centres(spark, d), nodes, "road_id").select("road_id", "node_id"), "snapped")
     resid = rows.filter("not is_test").select("road_id", "aadt_obs").join(fitted, "road_id").join(at, "road_id")
     resid = storage.table(resid.groupBy("node_id").agg(F.avg(F.col("aadt_obs") - F.col("pred")).alias("r")), "residuals")
-    near = L.distances_within(edges, nodes, resid, resid, REACH).filter("src < dst")
-    side = lambda c, n: resid.select(F.col("node_id").alias(c), F.col("r").alias(n))
-    cloud = storage.table(K.variogram_cloud(near.join(side("src", "r_i"), "src").join(side("dst", "r_j"), "dst")), "cloud")
+    cloud = storage.table(L.residual_cloud(edges, nodes, resid, REACH), "cloud")
     spread = resid.agg(F.var_pop("r"), F.count(F.lit(1))).first()
     nugget, c, a = K.fit_variogram(cloud, float(spread[0] or 0.0))
     box = extent(nodes)
