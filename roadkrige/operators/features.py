@@ -79,16 +79,19 @@ def nearest_by_class(roads: DataFrame, poi: DataFrame, road_id: str = "road_id",
 
 def road_density(segments: DataFrame, seg_id: str = "road_id", radius: float = ROAD_DENSITY_RADIUS, include_self: bool = True) -> DataFrame:
     """Road length within ``radius`` of each segment's centroid, and km per square km."""
-    centres = segments.select(F.col(seg_id).alias("_centre"), centroid(F.col("pts")).alias("_c")).select("_centre", F.col("_c.x").alias("x"), F.col("_c.y").alias("y"))
-    inside = lines_in_circles(segments.select(F.col(seg_id).alias("_seg"), "pts"), centres, radius)
+    # a file's segments are few bytes and much work: as they are read they would be put into a task for each of its row groups
+    dealt = segments.select(F.col(seg_id).alias("_seg"), "pts").repartition(4 * segments.sparkSession.sparkContext.defaultParallelism, "_seg")
+    # a generated row is worked out once, where a plain column is again for every filter and column that names it
+    measured = dealt.select("_seg", F.explode(F.array(F.struct(centroid(F.col("pts")).alias("c"), length(F.col("pts")).alias("m")))).alias("_m"))
+    centres = measured.select(F.col("_seg").alias("_centre"), F.col("_m.c.x").alias("x"), F.col("_m.c.y").alias("y"))
+    inside = lines_in_circles(dealt, centres, radius)
     if not include_self:
-        inside = inside.withColumn("clip_m", F.when(F.col("_seg") == F.col("_centre"), 0.0).otherwise(F.col("clip_m")))
-    total = inside.groupBy(F.col("_centre").alias(seg_id)).agg(F.sum("clip_m").alias("_m"))
+        inside = inside.filter(~F.col("_seg").eqNullSafe(F.col("_centre")))
+    total = inside.groupBy("_centre").agg(F.sum("clip_m").alias("_sum"))
     area = math.pi * radius * radius / 1e6
-    m = F.coalesce("_m", F.lit(0.0))
-    return segments.select(seg_id, length(F.col("pts")).alias("seg_len_m")).join(total.hint("merge"), seg_id, "left").select(
-        seg_id, "seg_len_m", m.alias("road_length_in_R_m"), (m / 1000 / area).alias("road_density")
-    )
+    m = F.coalesce("_sum", F.lit(0.0))
+    joined = measured.select("_seg", F.col("_m.m").alias("seg_len_m")).join(total.hint("merge"), F.col("_seg") == F.col("_centre"), "left")
+    return joined.select(F.col("_seg").alias(seg_id), "seg_len_m", m.alias("road_length_in_R_m"), (m / 1000 / area).alias("road_density"))
 
 
 def raster_value(points: DataFrame, pixels: DataFrame, info, epsg: int, x: str = "x", y: str = "y") -> DataFrame:

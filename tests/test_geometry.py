@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,50 @@ def test_boxes_meet_once(spark):
     lines = spark.createDataFrame([(1, [(0.0, 0.0), (30.0, 30.0)])], "id long, pts array<struct<x:double,y:double>>")
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 20.0, 20.0), (2, 90.0, 90.0, 95.0, 95.0)], "z long, x0 double, y0 double, x1 double, y1 double")
     assert [r.z for r in S.box_join(lines, boxes, 5.0).collect()] == [1]
+
+
+def _clipped(cx, cy, r, pts):
+    """Length of a line inside a circle, from the distances along each piece at which it crosses the border."""
+    total = 0.0
+    for (ax, ay), (bx, by) in zip(pts, pts[1:]):
+        n = math.hypot(bx - ax, by - ay)
+        if n:
+            ux, uy = (bx - ax) / n, (by - ay) / n
+            along, off = (cx - ax) * ux + (cy - ay) * uy, (cx - ax) * uy - (cy - ay) * ux
+            half = math.sqrt(max(r * r - off * off, 0.0))
+            total += max(0.0, min(n, along + half) - max(0.0, along - half))
+    return total
+
+
+@pytest.mark.parametrize("include_self", [True, False])
+def test_road_density_of_bent_long_and_odd_lines(spark, include_self):
+    from roadkrige.operators.features import road_density
+
+    rng = random.Random(7)
+    lines = {i: [(rng.uniform(-900, 900), rng.uniform(-900, 900)) for _ in range(rng.choice((2, 2, 3, 6)))] for i in range(60)}
+    lines |= {100 + i: [(x, y), (x + 100.0, y)] for i, (x, y) in enumerate((a * 100.0, b * 100.0) for a in range(-4, 4) for b in range(-4, 4))}  # some touch a circle only
+    lines |= {200: [(5000.0, 5000.0), (5000.0, 5300.0)], 201: [(50.0, 0.0)], 202: [(50.0, 0.0), (50.0, 0.0), (50.0, 40.0)], 203: [(1.0, 1.0), (1.0, 1.0)]}
+    rows = [(i, [{"x": x, "y": y} for x, y in pts]) for i, pts in lines.items()] + [(300, []), (301, None)]
+    df = spark.createDataFrame(rows, "road_id long, pts array<struct<x: double, y: double>>")
+    got = {r.road_id: r for r in road_density(df, radius=300.0, include_self=include_self).collect()}
+    assert set(got) == {*lines, 300, 301} and got[300].road_length_in_R_m == got[301].road_density == 0.0
+    for i, pts in lines.items():
+        spans = [(math.dist(a, b), (a[0] + b[0]) / 2, (a[1] + b[1]) / 2) for a, b in zip(pts, pts[1:])]
+        n = sum(s[0] for s in spans)
+        cx, cy = (sum(s[0] * s[k] for s in spans) / n for k in (1, 2)) if n else pts[0]
+        want = sum(_clipped(cx, cy, 300.0, other) for j, other in lines.items() if include_self or j != i)
+        assert got[i].seg_len_m == pytest.approx(n)
+        assert got[i].road_length_in_R_m == pytest.approx(want, abs=1e-6) and got[i].road_density == pytest.approx(want / 1000 / (math.pi * 0.09), abs=1e-8)
+
+
+def test_road_density_walks_no_array_for_a_pair_and_deals_out_its_segments(spark):
+    from roadkrige.operators.features import road_density
+
+    df = spark.range(50).selectExpr("id as road_id", "array(named_struct('x', id * 10.0D, 'y', 0.0D), named_struct('x', id + 1.0D, 'y', 5.0D)) as pts").coalesce(1)
+    plan = road_density(df)._jdf.queryExecution().executedPlan().toString().splitlines()
+    last = max(n for n, line in enumerate(plan) if "SortMergeJoin [_i" in line)
+    assert not any("lambdafunction" in line for line in plan[: last + 1] if "Join" in line or "clip" in line)
+    # each walk over a segment is in a row that is generated once, after the rows of the file's one task are dealt out
+    walks = [n for n, line in enumerate(plan) if "lambdafunction" in line]
+    assert walks and all("Generate explode" in plan[n] for n in walks)
+    assert all(any("REPARTITION_BY_NUM" in line for line in plan[n : n + 4]) for n in walks)
