@@ -57,3 +57,10 @@ def test_entry(spark):
 def test_no_join_compares_all_pairs(spark, name):
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["centroid_count_300", "virtual_links_500"])
+def test_a_centroid_is_worked_out_once(spark, name):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    walks = [line for line in plan if "aggregate(" in line]
+    assert walks and all("Generate explode" in line and line.count(" aggregate(") == 1 for line in walks)
